@@ -9,14 +9,15 @@ exact but for 64-bit hashes: of sets as the identity of classes, of shingles in
 2. Every order sorts shingles by (how crowded their counter is, a hash of its own), so that
    frequent shingles come last. A set of n whose links share at least c = ceil(percent * n)
    shingles must share ``min(K, c)`` of them within its first ``n - c + K`` under each order.
-   Prefixes go to buckets, packed; lists of up to SMALL sets give pairs with their number of
-   shared prefix shingles, longer lists go on as rows (list, set).
-3. Pairs that reach K under one order are intersected with those of the other orders.
-4. For long lists, pairs are tried with a few pivots per list, then only between sets that
-   aren't connected yet: first sets outside a list's largest component, in rounds; what is
-   left at the end is compared in full. No pair inside a component is made.
-5. Sets of candidates alone are built again from their texts, moved to their pairs, checked
-   against every order's prefix filter and then verified.
+   Prefixes go to buckets, packed; lists of up to SMALL sets give all their pairs with the
+   number of shared prefix shingles, longer lists go on as rows (list, set).
+3. A pair is a candidate if it shares K prefix shingles under every order, over short and
+   long lists together: filters are intersected on ids, before any set is moved.
+4. Pairs of long lists are tried with a few pivots of each list first, then only between sets
+   that aren't connected yet, until each list is one component or its pairs are exhausted.
+   No pair inside a component is made.
+5. Sets of candidates alone are built again from their texts and moved to their pairs: for
+   each set its most promising pair first, then those pairs that still join two components.
 
 Very crowded shingles (a list of a third of all sets, say) never meet in one task: they are
 rows from the start, and joins on them are split by AQE.
@@ -28,7 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats as ts
@@ -36,11 +38,11 @@ from .common import slices, stored
 from .components import components
 
 WORDS, PERCENT, K = 5, 75, 4
-SKETCH_BITS, SMALL, CROWDED, ORDERS = 20, 8, 6, 2
+SKETCH_BITS, SMALL, CROWDED, ORDERS = 20, 64, 6, 2
 #: Postings that a task packs at once, and that a bucket holds, about.
 PACK, BUCKET = 1 << 21, 1 << 21
 NEED_BITS = 25
-PIVOTS, PIVOT_ROUNDS, ROUNDS = 2, 2, 6
+PIVOTS, PIVOT_ROUNDS = 3, 2
 
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
@@ -82,6 +84,11 @@ def least_shared(n, percent: int):
     return -(-n * percent // 100)
 
 
+def weights(n: np.ndarray, percent: int) -> np.ndarray:
+    """What a shared prefix shingle counts for: K if the set is so small that one suffices."""
+    return np.where(least_shared(n, percent) < K, K, 1).astype(np.int32)
+
+
 def order_keys(shingles: np.ndarray, crowd: np.ndarray, order: int) -> np.ndarray:
     """What shingles are sorted by: crowding class first, then the order's own hash."""
     with np.errstate(over="ignore"):
@@ -132,7 +139,7 @@ def crowding(counts: np.ndarray) -> np.ndarray:
 
 def _postings(crowd, buckets: int, percent: int, width: int):
     """Prefix postings as packed rows by bucket; those of crowded shingles as rows (list, set)."""
-    names = ["bucket", "entries", "list", "sig"]
+    names = ["bucket", "entries", "list", "sig", "w"]
 
     def packs(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         order, token, sig, n = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -153,7 +160,7 @@ def _postings(crowd, buckets: int, percent: int, width: int):
             rows.append(int(slot[at[a]]))
             images.append(b"".join([head, sig[e].astype("<i8").tobytes(), n[e].astype("<u4").tobytes(), order[e].astype("u1").tobytes(), size[a:b].astype("<u4").tobytes(), low[at[a] : to].tobytes()]))
         m = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(images, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(images, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
@@ -177,7 +184,7 @@ def _postings(crowd, buckets: int, percent: int, width: int):
                 if not packed.all():
                     m = int((~packed).sum())
                     lists = (token[~packed] & np.uint64((1 << 62) - 1)).view(np.int64) * 2 + order
-                    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(lists), pa.array(sig[~packed])], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array((sig[~packed].view(np.uint64) % np.uint64(buckets)).astype(np.int32)), pa.nulls(m, pa.binary()), pa.array(lists), pa.array(sig[~packed]), pa.array(weights(n[~packed], percent))], names=names)
             if size >= PACK:
                 yield from packs(held)
                 held, size = [], 0
@@ -188,9 +195,16 @@ def _postings(crowd, buckets: int, percent: int, width: int):
 
 
 def _bucket(percent: int):
-    """The lists of a bucket: ``order, a, b, shared`` for small ones, ``order, list, set`` (b, a) else."""
+    """The lists of a bucket: ``order, a, b, shared`` for short ones; for long ones ``order, set, list`` and minus the set's weight."""
 
     def run(t: pa.Table) -> pa.Table:
+        mask = pc.is_valid(t.column("list"))
+        passing, t = t.filter(mask), t.filter(pc.invert(mask))
+        lists = passing.column("list").to_numpy()
+        through = pa.table({"ord": pa.array((lists % 2).astype(np.int32)), "a": passing.column("sig"), "b": pa.array(lists), "shared": pa.array(-passing.column("w").to_numpy())})
+        return pa.concat_tables([through, of_lists(t)]) if t.num_rows else through
+
+    def of_lists(t: pa.Table) -> pa.Table:
         columns = [[], [], [], [], []]
         for image in t.column("entries").to_pylist():
             e, m = (int(x) for x in np.frombuffer(image, "<u4", 2))
@@ -216,8 +230,7 @@ def _bucket(percent: int):
                     a, b = own + i, own + j
                     fits = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (n[a] > 0)
                     a, b = a[fits], b[fits]
-                    weight = np.where(np.minimum(least_shared(n[a], percent), least_shared(n[b], percent)) < K, K, 1)
-                    got.append((name[a] % ORDERS, sig[a], sig[b], weight))
+                    got.append((name[a] % ORDERS, sig[a], sig[b], weights(np.minimum(n[a], n[b]), percent)))
         if got:
             kind, a, b, weight = map(np.concatenate, zip(*got, strict=True))
             place = np.lexsort((b, a, kind))
@@ -233,7 +246,7 @@ def _bucket(percent: int):
         order_ = np.concatenate([kind, name[long] % ORDERS]).astype(np.int32)
         return pa.table({
             "ord": pa.array(order_), "a": pa.array(np.concatenate([a, sig[long]]).astype(np.int64)), "b": pa.array(np.concatenate([b, lists]).astype(np.int64)),
-            "shared": pa.array(np.concatenate([shared, np.zeros(len(long))]).astype(np.int32)),
+            "shared": pa.array(np.concatenate([shared, -weights(n[long], percent)]).astype(np.int32)),
         })
 
     return run
@@ -284,20 +297,10 @@ def _records(needed, width: int):
     return run
 
 
-def _verified(crowd, percent: int):
-    """Pairs with their sets: kept if they share prefixes under every order and are similar."""
-
-    def firsts(x: np.ndarray, order: int) -> np.ndarray:
-        c = least_shared(len(x), percent)
-        return x[np.argsort(order_keys(x, crowd.value, order), kind="stable")[: len(x) - c + min(K, c)]]
+def _verified(percent: int):
+    """Pairs with their sets: those kept are similar."""
 
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
-        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-            return False
-        least = min(K, least_shared(len(x), percent), least_shared(len(y), percent))
-        for order in range(ORDERS):
-            if len(np.intersect1d(firsts(x, order), firsts(y, order), assume_unique=True)) < least:
-                return False
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= percent * (len(x) + len(y) - both)
 
@@ -311,68 +314,101 @@ def _verified(crowd, percent: int):
     return run
 
 
+class Linker:
+    """Candidate pairs of classes, and what is known of their components so far."""
+
+    def __init__(self, docs: DataFrame, candidates: DataFrame, percent: int, width: int):
+        """``candidates``: ord, a, b, shared (pairs of short lists, or a: set, b: list, minus its weight)."""
+        self.percent = percent
+        # short lists: shared weight of a pair under each order
+        by_order = [F.coalesce(F.sum(F.when(F.col("ord") == o, F.col("shared"))), F.lit(0)).alias(f"s{o}") for o in range(ORDERS)]
+        short = candidates.where("shared > 0").groupBy("a", "b").agg(*by_order)
+        rows = candidates.where("shared < 0").groupBy("ord", F.col("b").alias("list"), F.col("a").alias("sig")).agg((-F.min("shared")).alias("w"))
+        self.rows = stored(rows.join(rows.groupBy("list").agg(F.count("*").alias("members")).where("members > 1").select("list"), "list", "left_semi"), "lists")
+        self.any_long = not self.rows.isEmpty()
+        self.long = self.rows.where("ord = 0").select("list", "sig")
+        enough = F.lit(True)
+        for o in range(ORDERS):
+            enough = enough & (F.col(f"s{o}") >= K)
+        if self.any_long:
+            self.short = stored(short, "short")
+            pool = self.filtered(self.short.select("a", "b").unionByName(self.pivots(self.long.withColumn("comp", F.col("sig")), 0)).distinct())
+        else:
+            pool = short.where(enough).withColumn("strength", F.col("s0") + F.col("s1")).select("a", "b", "strength")
+        self.pool = stored(pool, "pool")
+        ids = self.pool.select(F.col("a").alias("sig")).unionByName(self.pool.select(F.col("b").alias("sig"))).unionByName(self.long.select("sig")).distinct()
+        found = docs.mapInArrow(_records(_bitmap(ids), width), "sig long, shingles binary").groupBy("sig").agg(F.first("shingles").alias("shingles"))
+        self.sets = stored(found, "sets", compression="uncompressed")
+        self.stars: DataFrame | None = None
+
+    def pivots(self, placed: DataFrame, seed: int) -> DataFrame:
+        """Pairs of the sets of long lists (list, sig, comp) with a few of their list, across components."""
+        least = [F.min(F.struct(F.xxhash64("sig", F.lit(seed), F.lit(i)).alias("h"), F.col("sig").alias("p"), F.col("comp").alias("pc"))) for i in range(PIVOTS)]
+        few = placed.groupBy("list").agg(F.array(*least).alias("ps")).select("list", F.explode("ps").alias("p")).select("list", "p.p", "p.pc").distinct()
+        return placed.join(few, "list").where("comp <> pc").select(F.least("sig", "p").alias("a"), F.greatest("sig", "p").alias("b"))
+
+    def filtered(self, pairs: DataFrame) -> DataFrame:
+        """``a, b, strength`` of pairs that share K under every order, over short and long lists."""
+        left = self.rows.select("list", "ord", F.col("sig").alias("a"), F.col("w").alias("wa"))
+        right = self.rows.select("list", F.col("sig").alias("b"), F.col("w").alias("wb"))
+        both = pairs.join(left, "a").join(right, ["b", "list"])
+        by_order = [F.sum(F.when(F.col("ord") == o, F.greatest("wa", "wb")).otherwise(0)).alias(f"l{o}") for o in range(ORDERS)]
+        out = pairs.join(both.groupBy("a", "b").agg(*by_order), ["a", "b"], "left").join(self.short, ["a", "b"], "left")
+        strength, enough = F.lit(0), F.lit(True)
+        for o in range(ORDERS):
+            n = F.coalesce(f"l{o}", F.lit(0)) + F.coalesce(f"s{o}", F.lit(0))
+            strength, enough = strength + n, enough & (n >= K)
+        return out.where(enough).select("a", "b", strength.alias("strength"))
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Adds the links among ``pairs`` to what is known."""
+        x = pairs.join(self.sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(self.sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+        links = x.mapInArrow(_verified(self.percent), "a long, b long")
+        known = self.stars
+        self.stars = components(links if known is None else links.unionByName(known.select(F.col("child").alias("a"), F.col("root").alias("b"))))
+
+    def comp(self, df: DataFrame, sig: str, name: str) -> DataFrame:
+        """``df`` with the component of a set."""
+        return df.join(self.stars.select(F.col("child").alias(sig), F.col("root").alias("__root")), sig, "left").withColumn(name, F.coalesce("__root", sig)).drop("__root")
+
+    def across(self, pairs: DataFrame) -> DataFrame:
+        return self.comp(self.comp(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select(pairs.columns)
+
+    def run(self) -> DataFrame:
+        """``child, root`` of linked classes."""
+        ends = self.pool.unionByName(self.pool.select(F.col("b").alias("a"), F.col("a").alias("b"), "strength"))
+        best = ends.groupBy("a").agg(F.max_by("b", F.struct("strength", F.xxhash64("a", "b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        tried = stored(best, "best")
+        self.verify(tried)
+        rest = stored(self.across(self.pool.select("a", "b").join(tried, ["a", "b"], "left_anti")), "rest")
+        if not rest.isEmpty():
+            self.verify(rest)
+            tried = tried.unionByName(rest)
+        for r in range(1, PIVOT_ROUNDS + 1) if self.any_long else ():
+            placed = self.comp(self.long, "sig", "comp")
+            sizes = placed.groupBy("list", "comp").agg(F.count("*").alias("n"))
+            main = sizes.groupBy("list").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("list", F.col("top.comp").alias("main"))
+            left = stored(placed.join(main, "list"), "open")
+            if left.isEmpty():
+                break
+            if r < PIVOT_ROUNDS:
+                outside, inside = left.where("comp <> main"), left.where("comp = main").select("list", F.col("sig").alias("sig"), "comp")
+                pairs = self.pivots(inside.unionByName(outside.select("list", "sig", "comp")), r)
+            else:  # what lies outside a list's largest component, against all that is of another one
+                other = left.select("list", F.col("sig").alias("p"), F.col("comp").alias("pc"))
+                pairs = left.where("comp <> main").join(other, "list").where("comp <> pc").select(F.least("sig", "p").alias("a"), F.greatest("sig", "p").alias("b"))
+            new = stored(self.filtered(pairs.distinct().join(tried, ["a", "b"], "left_anti")).select("a", "b"), "tries")
+            if not new.isEmpty():
+                self.verify(new)
+                tried = tried.unionByName(new)
+        return self.stars
+
+
 def link_classes(docs: DataFrame, crowd, percent: int, width: int, buckets: int) -> DataFrame:
     """``child, root`` of linked classes, by their set hashes; ``docs`` has the column text."""
-    spark = docs.sparkSession
-    raw = docs.mapInArrow(_postings(crowd, buckets, percent, width), "bucket int, entries binary, list long, sig long")
-    crowded_rows = raw.where("bucket is null").select((F.col("list") % 2).cast("int").alias("ord"), F.col("sig").alias("a"), F.col("list").alias("b"), F.lit(-1).alias("shared"))
-    found = raw.where("bucket is not null").select("bucket", "entries").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket(percent), "ord int, a long, b long, shared int")
-    found = stored(found.unionByName(crowded_rows), "candidates")
-
-    # pairs of small lists that every order has; sets with long lists may share more than small lists show
-    pairs = found.where("shared > 0").groupBy("ord", "a", "b").agg(F.sum("shared").alias("shared"))
-    rows = stored(found.where("shared <= 0").select("ord", F.col("b").alias("list"), F.col("a").alias("sig")).distinct(), "lists")
-    listed = rows.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
-    long = rows.where("ord = 0").join(listed, "list").select("list", "sig")
-    hot = rows.join(listed, "list", "left_semi").groupBy("sig").agg(F.max(F.col("ord") == 0).alias("h0"), F.max(F.col("ord") == 1).alias("h1"))
-    by_order = pairs.groupBy("a", "b").agg(*[F.coalesce(F.max(F.when(F.col("ord") == o, F.col("shared"))), F.lit(0)).alias(f"s{o}") for o in range(ORDERS)])
-    ends = by_order.join(hot.select(F.col("sig").alias("a"), F.col("h0").alias("a0"), F.col("h1").alias("a1")), "a", "left").join(hot.select(F.col("sig").alias("b"), F.col("h0").alias("b0"), F.col("h1").alias("b1")), "b", "left")
-    passes = F.lit(True)
-    for o in range(ORDERS):
-        passes = passes & ((F.col(f"s{o}") >= K) | (F.coalesce(f"a{o}", F.lit(False)) & F.coalesce(f"b{o}", F.lit(False))))
-    small = stored(ends.where(passes & (F.col("s0") > 0)).select("a", "b"), "pairs")
-
-    ids = small.select(F.col("a").alias("sig")).unionByName(small.select(F.col("b").alias("sig"))).unionByName(long.select("sig")).distinct()
-    sets = stored(docs.mapInArrow(_records(_bitmap(ids), width), "sig long, shingles binary").groupBy("sig").agg(F.first("shingles").alias("shingles")), "sets", compression="uncompressed")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-        return stored(x.mapInArrow(_verified(crowd, percent), "a long, b long"), "links")
-
-    def ordered(x: str, y: str) -> DataFrame:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    tried, stars = small, None
-    links = verify(small)
-    long = stored(long, "long")
-    if long.isEmpty():
-        return components(links)
-    for r in range(ROUNDS + 1):
-        stars = components(links if stars is None else links.unionByName(stars.select(F.col("child").alias("a"), F.col("root").alias("b"))))
-        placed = long.join(stars.withColumnRenamed("child", "sig"), "sig", "left").select("list", "sig", F.coalesce("root", "sig").alias("comp"))
-        # lists whose sets are all connected are done
-        sizes = placed.groupBy("list", "comp").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("list").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("list", F.col("top.comp").alias("main"))
-        open_ = stored(placed.join(main, "list"), "open")
-        if open_.isEmpty():
-            break
-        if r < ROUNDS:
-            # a few pivots of each list: of all its sets at first, then of its largest component
-            spread = F.xxhash64("sig", F.lit(r))
-            of = open_ if r < PIVOT_ROUNDS else open_.where("comp = main")
-            pivots = of.groupBy("list").agg(*[F.min(F.struct(F.xxhash64("sig", F.lit(r), F.lit(i)).alias("h"), F.col("sig").alias("p"), F.col("comp").alias("pc"))).alias(f"p{i}") for i in range(PIVOTS)])
-            pivots = pivots.select("list", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).select("list", "p.p", "p.pc").distinct()
-            new = open_.join(pivots, "list").where("comp <> pc").select(*ordered("sig", "p")).distinct()
-        else:
-            # what is left: sets outside a list's largest component against all that aren't of theirs
-            other = open_.select("list", F.col("sig").alias("p"), F.col("comp").alias("pc"))
-            new = open_.where("comp <> main").join(other, "list").where("comp <> pc").select(*ordered("sig", "p")).distinct()
-        new = stored(new.join(tried, ["a", "b"], "left_anti"), "tries")
-        links = verify(new)
-        tried = tried.unionByName(new)
-        if r == ROUNDS:
-            stars = components(links.unionByName(stars.select(F.col("child").alias("a"), F.col("root").alias("b"))))
-    return stars
+    raw = docs.mapInArrow(_postings(crowd, buckets, percent, width), "bucket int, entries binary, list long, sig long, w int")
+    found = raw.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket(percent), "ord int, a long, b long, shared int")
+    return Linker(docs, stored(found, "candidates"), percent, width).run()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, width: int = WORDS) -> DataFrame:
