@@ -5,22 +5,23 @@ without words). Two sets link when ``100 * |A and B| >= percent * |A or B|``. Th
 exact but for 64-bit hashes: of sets as the identity of classes, of shingles in sets.
 
 1. One scan gives each text the hash of its set. Equal sets are one class, which goes on once.
-   The same scan counts shingles in a table of SKETCH counters, whatever the corpus.
-2. Every order sorts shingles by (how crowded their counter is, a hash of its own), so that
-   frequent shingles come last. A set of n whose links share at least c = ceil(percent * n)
-   shingles must share ``min(K, c)`` of them within its first ``n - c + K`` under each order.
-   Prefixes go to buckets, packed; lists of up to SMALL sets give all their pairs with the
-   number of shared prefix shingles, longer lists go on as rows (list, set).
-3. A pair is a candidate if it shares K prefix shingles under every order, over short and
-   long lists together: filters are intersected on ids, before any set is moved.
-4. Pairs of long lists are tried with a few pivots of each list first, then only between sets
-   that aren't connected yet, until each list is one component or its pairs are exhausted.
-   No pair inside a component is made.
+2. Shingles are counted, packed by bucket and pre-aggregated. Those in FREQUENT sets or more
+   get a level in a table of LEVEL_CELLS cells, whatever the corpus: the most frequent of each
+   bucket, CELLS_USED at most. Every order sorts shingles by (level, a hash of its own), so
+   that frequent shingles come last. Any table makes valid orders; a good one makes few candidates.
+3. A set of n whose links share at least c = ceil(percent * n) shingles must share ``min(K, c)``
+   of them within its first ``n - c + K`` under each order. Prefixes go to buckets, packed;
+   lists of up to SMALL sets give all their pairs with the number of shared prefix shingles,
+   longer lists go on as rows (list, set). Lists of the most frequent shingles never meet in
+   one task: they are rows from the start.
+4. A pair of short lists is a candidate if it shares K prefix shingles under every order; the
+   orders' filters are intersected on ids, before any set is moved.
 5. Sets of candidates alone are built again from their texts and moved to their pairs: for
-   each set its most promising pair first, then those pairs that still join two components.
-
-Very crowded shingles (a list of a third of all sets, say) never meet in one task: they are
-rows from the start, and joins on them are split by AQE.
+   each set its most promising pair and a few pivots of its long lists first, then what still
+   joins two components. No pair inside a component is made.
+6. Sets that are then still outside the largest component of a long list are a query set: in
+   blocks of QUERY_BYTES they are broadcast and held, by prefixes of every order, against all
+   sets of long lists.
 """
 
 from __future__ import annotations
@@ -38,11 +39,11 @@ from .common import slices, stored
 from .components import components
 
 WORDS, PERCENT, K = 5, 75, 4
-SKETCH_BITS, SMALL, CROWDED, ORDERS = 20, 64, 6, 2
+LEVEL_BITS, CELLS_USED, FREQUENT, SMALL, CROWDED, ORDERS = 24, 1 << 22, 24, 16, 8, 2
 #: Postings that a task packs at once, and that a bucket holds, about.
 PACK, BUCKET = 1 << 21, 1 << 21
 NEED_BITS = 25
-PIVOTS, PIVOT_ROUNDS = 3, 2
+FIRST_PIVOTS, MORE_PIVOTS, QUERY_BYTES = 2, 8, 16 << 20
 
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
@@ -90,13 +91,13 @@ def weights(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def order_keys(shingles: np.ndarray, crowd: np.ndarray, order: int) -> np.ndarray:
-    """What shingles are sorted by: crowding class first, then the order's own hash."""
+    """What shingles are sorted by: level first, then the order's own hash."""
     with np.errstate(over="ignore"):
         return crowd[_cell(shingles)].astype(np.uint64) << np.uint64(58) | ts.mix(shingles + _SEEDS[order]) >> np.uint64(6)
 
 
 def _cell(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    return (shingles >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)
 
 
 def prefix(keys: np.ndarray, of: np.ndarray, first: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
@@ -107,34 +108,101 @@ def prefix(keys: np.ndarray, of: np.ndarray, first: np.ndarray, n: np.ndarray, p
     return order[np.arange(len(order)) - first[of] < length[of]]
 
 
-def _scan(percent: int, width: int):
+def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["row", "sig", "n", "cells", "counts"]
         for batch in slices(batches, "text"):
             s = Sets(batch.column(1), width)
-            sketch += np.bincount(_cell(s.shingles), minlength=len(sketch))
-            none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.sig), pa.array(s.n.astype(np.int64)), *none], names=names)
-        for at in range(0, len(sketch), 1 << 16):
-            counts = sketch[at : at + (1 << 16)]
-            if counts.any():
-                key = pa.nulls(1, batch.schema.field(0).type) if "batch" in locals() else None
-                yield pa.RecordBatch.from_arrays([key, pa.array([0], pa.int64()), pa.array([-1], pa.int64()), pa.array([at >> 16], pa.int32()), pa.array([counts.astype("<u4").tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.sig), pa.array(s.n.astype(np.int64))], names=["row", "sig", "n"])
 
     return run
 
 
-def _sum_counts(t: pa.Table) -> pa.Table:
-    total = np.zeros(1 << 16, np.int64)
-    for x in t.column("counts").to_pylist():
-        total += np.frombuffer(x, "<u4")
-    return pa.table({"cells": pa.array([t.column("cells")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+class Fresh:
+    """Which classes of a slice this task hasn't met, while the memory of them lasts."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def __call__(self, s: Sets) -> np.ndarray:
+        out = np.zeros(len(s.n), bool)
+        for i in np.flatnonzero(s.n):
+            if (sig := int(s.sig[i])) not in self.seen:
+                out[i] = True
+                self.seen.add(sig)
+        if len(self.seen) > 1 << 20:
+            self.seen.clear()
+        return out
 
 
-def crowding(counts: np.ndarray) -> np.ndarray:
-    """A class for each counter: 0 up to twice the mean, one more with each doubling (63 at most)."""
-    return np.clip(np.floor(np.log2(np.maximum(counts / max(1.0, counts.mean()), 1.0))), 0, 63).astype(np.uint8)
+def _counted(buckets: int, width: int):
+    """Shingles of new classes by bucket: 32 bits of each, and counts of those met more than once."""
+
+    def packs(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        slot = (found % np.uint64(buckets)).astype(np.int64)
+        place = np.argsort(slot, kind="stable")
+        found, n, slot = found[place], n[place], slot[place]
+        edges = np.flatnonzero(np.diff(slot, prepend=-1, append=-2))
+        rows, images = [], []
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            part, often = found[x:y], np.flatnonzero(n[x:y] > 1)
+            rows.append(int(slot[x]))
+            images.append(b"".join([np.array([y - x, len(often)], "<u4").tobytes(), _cut(part), often.astype("<u4").tobytes(), n[x:y][often].astype("<u4").tobytes()]))
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(images, pa.binary())], names=["bucket", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, fresh = [], 0, Fresh()
+        for batch in slices(batches, "text"):
+            s = Sets(batch.column(0), width)
+            held.append(s.shingles[fresh(s)[s.of]])
+            size += len(held[-1])
+            if size >= PACK:
+                yield packs(held)
+                held, size = [], 0
+        if size:
+            yield packs(held)
+
+    return run
+
+
+def _cut(shingles: np.ndarray) -> bytes:
+    """The upper 40 bits of each, which hold its cell."""
+    return np.ascontiguousarray((shingles >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _frequent(most: int):
+    """The cells and levels of a bucket's frequent shingles, the ``most`` most frequent ones."""
+
+    def run(t: pa.Table) -> pa.Table:
+        tokens, counts = [], []
+        for image in t.column("entries").to_pylist():
+            m, often = (int(x) for x in np.frombuffer(image, "<u4", 2))
+            full = np.zeros((m, 8), np.uint8)
+            full[:, :5] = np.frombuffer(image, np.uint8, 5 * m, 8).reshape(m, 5)
+            n = np.ones(m, np.int64)
+            n[np.frombuffer(image, "<u4", often, 8 + 5 * m)] = np.frombuffer(image, "<u4", often, 8 + 5 * m + 4 * often)
+            tokens.append(full.view("<u8").ravel())
+            counts.append(n)
+        token, n = np.concatenate(tokens), np.concatenate(counts)
+        order = np.argsort(token, kind="stable")
+        token, n = token[order], n[order]
+        first = np.flatnonzero(np.diff(token, prepend=token[0] + np.uint64(1)))
+        token, n = token[first], np.add.reduceat(n, first)
+        own = np.flatnonzero(n >= FREQUENT)
+        own = own[np.argsort(-n[own], kind="stable")[:most]]
+        level = np.minimum(np.log2(n[own] / FREQUENT).astype(np.int64) + 1, 63)
+        return pa.table({"cells": pa.array([(token[own] >> np.uint64(40 - LEVEL_BITS)).astype("<u4").tobytes()], pa.binary()), "levels": pa.array([level.astype(np.uint8).tobytes()], pa.binary())})
+
+    return run
+
+
+def levels(docs: DataFrame, buckets: int, width: int) -> np.ndarray:
+    """The level of each cell; its size and what is collected for it don't depend on the corpus."""
+    out = np.zeros(1 << LEVEL_BITS, np.uint8)
+    counted = docs.mapInArrow(_counted(buckets, width), "bucket int, entries binary").repartition(buckets, "bucket")
+    for r in counted.groupBy("bucket").applyInArrow(_frequent(CELLS_USED // buckets + 1), "cells binary, levels binary").toLocalIterator():
+        np.maximum.at(out, np.frombuffer(r["cells"], "<u4"), np.frombuffer(r["levels"], np.uint8))
+    return out
 
 
 def _postings(crowd, buckets: int, percent: int, width: int):
@@ -163,20 +231,14 @@ def _postings(crowd, buckets: int, percent: int, width: int):
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(images, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
+        held, size, fresh = [], 0, Fresh()
         for batch in slices(batches, "text"):
             s = Sets(batch.column(0), width)
-            fresh = np.zeros(len(s.n), bool)
-            for i in np.flatnonzero(s.n):  # a class goes on once from each task, while the memory of it lasts
-                if (sig := int(s.sig[i])) not in seen:
-                    fresh[i] = True
-                    seen.add(sig)
-            if len(seen) > 1 << 20:
-                seen.clear()
+            new = fresh(s)
             for order in range(ORDERS):
                 keys = order_keys(s.shingles, crowd.value, order)
                 at = prefix(keys, s.of, s.first, s.n, percent)
-                at = at[fresh[s.of[at]]]
+                at = at[new[s.of[at]]]
                 token, sig, n = ts.mix(s.shingles[at]), s.sig[s.of[at]], s.n[s.of[at]]
                 packed = crowd.value[_cell(s.shingles[at])] < CROWDED
                 held.append((np.full(packed.sum(), order, np.uint8), token[packed], sig[packed], n[packed]))
@@ -314,101 +376,163 @@ def _verified(percent: int):
     return run
 
 
+def firsts(x: np.ndarray, crowd: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The prefix of one set under an order."""
+    c = int(least_shared(len(x), percent))
+    return x[np.argsort(order_keys(x, crowd, order), kind="stable")[: len(x) - c + min(K, c)]]
+
+
+class Queries:
+    """A block of sets to hold others against, by their prefixes under every order."""
+
+    def __init__(self, sets: list[tuple[int, int, bytes]], crowd: np.ndarray, percent: int):
+        self.sig, self.comp = np.array([s for s, _, _ in sets], np.int64), np.array([c for _, c, _ in sets], np.int64)
+        self.sets, self.percent = [np.frombuffer(x, "<u8") for _, _, x in sets], percent
+        self.n = np.array([len(x) for x in self.sets])
+        self.index = []
+        for order in range(ORDERS):
+            parts = [firsts(x, crowd, order, percent) for x in self.sets]
+            tokens, of = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            place = np.argsort(tokens, kind="stable")
+            self.index.append((tokens[place], of[place]))
+
+    def links(self, x: np.ndarray, comp: int, crowd: np.ndarray) -> list[int]:
+        """Which of the queries are similar to a set of another component; one for each component."""
+        fits = (self.comp != comp) & (100 * np.minimum(self.n, len(x)) >= self.percent * np.maximum(self.n, len(x)))
+        least = np.minimum(K, np.minimum(least_shared(self.n, self.percent), least_shared(len(x), self.percent)))
+        for order, (tokens, of) in enumerate(self.index):
+            own = firsts(x, crowd, order, self.percent)
+            low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+            n = high - low
+            hits = of[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+            fits &= np.bincount(hits, minlength=len(self.n)) >= least
+        out, done = [], set()
+        for i in np.flatnonzero(fits):
+            if int(self.comp[i]) not in done:
+                both = len(np.intersect1d(x, self.sets[i], assume_unique=True))
+                if 100 * both >= self.percent * (len(x) + int(self.n[i]) - both):
+                    out.append(int(i))
+                    done.add(int(self.comp[i]))
+        return out
+
+
 class Linker:
     """Candidate pairs of classes, and what is known of their components so far."""
 
-    def __init__(self, docs: DataFrame, candidates: DataFrame, percent: int, width: int):
+    def __init__(self, docs: DataFrame, candidates: DataFrame, crowd, percent: int, width: int):
         """``candidates``: ord, a, b, shared (pairs of short lists, or a: set, b: list, minus its weight)."""
-        self.percent = percent
-        # short lists: shared weight of a pair under each order
+        self.percent, self.crowd = percent, crowd
         by_order = [F.coalesce(F.sum(F.when(F.col("ord") == o, F.col("shared"))), F.lit(0)).alias(f"s{o}") for o in range(ORDERS)]
         short = candidates.where("shared > 0").groupBy("a", "b").agg(*by_order)
-        rows = candidates.where("shared < 0").groupBy("ord", F.col("b").alias("list"), F.col("a").alias("sig")).agg((-F.min("shared")).alias("w"))
-        self.rows = stored(rows.join(rows.groupBy("list").agg(F.count("*").alias("members")).where("members > 1").select("list"), "list", "left_semi"), "lists")
-        self.any_long = not self.rows.isEmpty()
-        self.long = self.rows.where("ord = 0").select("list", "sig")
-        enough = F.lit(True)
+        rows = candidates.where("shared < 0").select("ord", F.col("b").alias("list"), F.col("a").alias("sig")).distinct()
+        rows = stored(rows.join(rows.groupBy("list").agg(F.count("*").alias("members")).where("members > 1").select("list"), "list", "left_semi"), "lists")
+        self.any_long = not rows.isEmpty()
+        self.long = rows.where("ord = 0").select("list", "sig")
+        if self.any_long:  # both sets may share long lists beside their short ones
+            hot = rows.groupBy("sig").agg(*[F.bool_or(F.col("ord") == o).alias(f"h{o}") for o in range(ORDERS)])
+            for side in "ab":
+                short = short.join(hot.select(F.col("sig").alias(side), *[F.col(f"h{o}").alias(f"{side}{o}") for o in range(ORDERS)]), side, "left")
+        enough, strength = F.col("s0") > 0, F.lit(0)
         for o in range(ORDERS):
-            enough = enough & (F.col(f"s{o}") >= K)
-        if self.any_long:
-            self.short = stored(short, "short")
-            pool = self.filtered(self.short.select("a", "b").unionByName(self.pivots(self.long.withColumn("comp", F.col("sig")), 0)).distinct())
-        else:
-            pool = short.where(enough).withColumn("strength", F.col("s0") + F.col("s1")).select("a", "b", "strength")
-        self.pool = stored(pool, "pool")
+            also = F.coalesce(F.col(f"a{o}") & F.col(f"b{o}"), F.lit(False)) if self.any_long else F.lit(False)
+            enough, strength = enough & ((F.col(f"s{o}") >= K) | also), strength + F.col(f"s{o}")
+        self.pool = stored(short.where(enough).select("a", "b", strength.alias("strength")), "pool")
         ids = self.pool.select(F.col("a").alias("sig")).unionByName(self.pool.select(F.col("b").alias("sig"))).unionByName(self.long.select("sig")).distinct()
         found = docs.mapInArrow(_records(_bitmap(ids), width), "sig long, shingles binary").groupBy("sig").agg(F.first("shingles").alias("shingles"))
         self.sets = stored(found, "sets", compression="uncompressed")
         self.stars: DataFrame | None = None
 
-    def pivots(self, placed: DataFrame, seed: int) -> DataFrame:
-        """Pairs of the sets of long lists (list, sig, comp) with a few of their list, across components."""
-        least = [F.min(F.struct(F.xxhash64("sig", F.lit(seed), F.lit(i)).alias("h"), F.col("sig").alias("p"), F.col("comp").alias("pc"))) for i in range(PIVOTS)]
-        few = placed.groupBy("list").agg(F.array(*least).alias("ps")).select("list", F.explode("ps").alias("p")).select("list", "p.p", "p.pc").distinct()
-        return placed.join(few, "list").where("comp <> pc").select(F.least("sig", "p").alias("a"), F.greatest("sig", "p").alias("b"))
-
-    def filtered(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, strength`` of pairs that share K under every order, over short and long lists."""
-        left = self.rows.select("list", "ord", F.col("sig").alias("a"), F.col("w").alias("wa"))
-        right = self.rows.select("list", F.col("sig").alias("b"), F.col("w").alias("wb"))
-        both = pairs.join(left, "a").join(right, ["b", "list"])
-        by_order = [F.sum(F.when(F.col("ord") == o, F.greatest("wa", "wb")).otherwise(0)).alias(f"l{o}") for o in range(ORDERS)]
-        out = pairs.join(both.groupBy("a", "b").agg(*by_order), ["a", "b"], "left").join(self.short, ["a", "b"], "left")
-        strength, enough = F.lit(0), F.lit(True)
-        for o in range(ORDERS):
-            n = F.coalesce(f"l{o}", F.lit(0)) + F.coalesce(f"s{o}", F.lit(0))
-            strength, enough = strength + n, enough & (n >= K)
-        return out.where(enough).select("a", "b", strength.alias("strength"))
+    def pivots(self, to: DataFrame, among: DataFrame, count: int, seed: int) -> DataFrame:
+        """Pairs of the sets ``to`` with a few of those ``among`` each list (list, sig, comp), across components."""
+        least = [F.min(F.struct(F.xxhash64("sig", F.lit(seed), F.lit(i)).alias("h"), F.col("sig").alias("p"), F.col("comp").alias("pc"))) for i in range(count)]
+        few = among.groupBy("list").agg(F.array_distinct(F.array(*least)).alias("ps"))
+        pairs = to.join(few, "list").select("sig", "comp", F.explode("ps").alias("p")).where("comp <> p.pc").select("sig", "p.p")
+        return pairs.select(F.least("sig", "p").alias("a"), F.greatest("sig", "p").alias("b")).distinct()
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Adds the links among ``pairs`` to what is known."""
-        x = pairs.join(self.sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(self.sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-        links = x.mapInArrow(_verified(self.percent), "a long, b long")
+    def link(self, links: DataFrame) -> None:
+        """Adds links to what is known."""
         known = self.stars
         self.stars = components(links if known is None else links.unionByName(known.select(F.col("child").alias("a"), F.col("root").alias("b"))))
 
+    def verify(self, pairs: DataFrame) -> None:
+        """Adds the links among ``pairs``."""
+        x = pairs.join(self.sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(self.sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+        self.link(x.mapInArrow(_verified(self.percent), "a long, b long"))
+
     def comp(self, df: DataFrame, sig: str, name: str) -> DataFrame:
         """``df`` with the component of a set."""
         return df.join(self.stars.select(F.col("child").alias(sig), F.col("root").alias("__root")), sig, "left").withColumn(name, F.coalesce("__root", sig)).drop("__root")
 
-    def across(self, pairs: DataFrame) -> DataFrame:
-        return self.comp(self.comp(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select(pairs.columns)
+    def outside(self) -> tuple[DataFrame, DataFrame]:
+        """Of lists with several components: the sets outside the largest one, and all sets."""
+        placed = self.comp(self.long, "sig", "comp")
+        sizes = placed.groupBy("list", "comp").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("list").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("list", F.col("top.comp").alias("main"))
+        left = stored(placed.join(main, "list"), "open")
+        return left.where("comp <> main").select("list", "sig", "comp"), left.where("comp = main").select("list", "sig", "comp")
 
     def run(self) -> DataFrame:
         """``child, root`` of linked classes."""
         ends = self.pool.unionByName(self.pool.select(F.col("b").alias("a"), F.col("a").alias("b"), "strength"))
-        best = ends.groupBy("a").agg(F.max_by("b", F.struct("strength", F.xxhash64("a", "b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        tried = stored(best, "best")
+        tries = ends.groupBy("a").agg(F.max_by("b", F.struct("strength", F.xxhash64("a", "b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.any_long:
+            start = self.long.withColumn("comp", F.col("sig"))
+            tries = tries.unionByName(self.pivots(start, start, FIRST_PIVOTS, 0)).distinct()
+        tried = stored(tries, "tries")
         self.verify(tried)
-        rest = stored(self.across(self.pool.select("a", "b").join(tried, ["a", "b"], "left_anti")), "rest")
+        rest = self.comp(self.comp(self.pool.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+        if self.any_long:
+            rest = rest.unionByName(self.pivots(*self.outside(), MORE_PIVOTS, 1)).distinct()
+        rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
             self.verify(rest)
-            tried = tried.unionByName(rest)
-        for r in range(1, PIVOT_ROUNDS + 1) if self.any_long else ():
-            placed = self.comp(self.long, "sig", "comp")
-            sizes = placed.groupBy("list", "comp").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("list").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("list", F.col("top.comp").alias("main"))
-            left = stored(placed.join(main, "list"), "open")
-            if left.isEmpty():
-                break
-            if r < PIVOT_ROUNDS:
-                outside, inside = left.where("comp <> main"), left.where("comp = main").select("list", F.col("sig").alias("sig"), "comp")
-                pairs = self.pivots(inside.unionByName(outside.select("list", "sig", "comp")), r)
-            else:  # what lies outside a list's largest component, against all that is of another one
-                other = left.select("list", F.col("sig").alias("p"), F.col("comp").alias("pc"))
-                pairs = left.where("comp <> main").join(other, "list").where("comp <> pc").select(F.least("sig", "p").alias("a"), F.greatest("sig", "p").alias("b"))
-            new = stored(self.filtered(pairs.distinct().join(tried, ["a", "b"], "left_anti")).select("a", "b"), "tries")
-            if not new.isEmpty():
-                self.verify(new)
-                tried = tried.unionByName(new)
+        if self.any_long:
+            self.search(self.outside()[0].select("sig", "comp").distinct())
         return self.stars
 
+    def search(self, queries: DataFrame) -> None:
+        """Holds the query sets against all sets of long lists, a broadcast block at a time."""
+        spark, percent, crowd = queries.sparkSession, self.percent, self.crowd
+        mine = stored(queries.join(self.sets, "sig"), "queries", compression="uncompressed")
+        theirs = None
+        found, block, size = [], [], 0
+
+        def against(block: list) -> DataFrame:
+            nonlocal theirs
+            if theirs is None:
+                theirs = stored(self.comp(self.long.select("sig").distinct().join(self.sets, "sig"), "sig", "comp").select("sig", "comp", "shingles"), "members", compression="uncompressed")
+            shared = spark.sparkContext.broadcast(Queries(block, crowd.value, percent))
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    a, b = [], []
+                    for sig, comp, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                        for i in shared.value.links(np.frombuffer(x.as_buffer(), "<u8"), comp, crowd.value):
+                            a.append(sig)
+                            b.append(int(shared.value.sig[i]))
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+            return stored(theirs.mapInArrow(run, "a long, b long"), "links")
+
+        for r in mine.select("sig", "comp", "shingles").toLocalIterator():
+            block.append((r["sig"], r["comp"], bytes(r["shingles"])))
+            size += len(r["shingles"])
+            if size >= QUERY_BYTES:
+                found.append(against(block))
+                block, size = [], 0
+        if block:
+            found.append(against(block))
+        for links in found[1:]:
+            found[0] = found[0].unionByName(links)
+        if found:
+            self.link(found[0])
+
 
 def link_classes(docs: DataFrame, crowd, percent: int, width: int, buckets: int) -> DataFrame:
     """``child, root`` of linked classes, by their set hashes; ``docs`` has the column text."""
     raw = docs.mapInArrow(_postings(crowd, buckets, percent, width), "bucket int, entries binary, list long, sig long, w int")
     found = raw.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket(percent), "ord int, a long, b long, shared int")
-    return Linker(docs, stored(found, "candidates"), percent, width).run()
+    return Linker(docs, stored(found, "candidates"), crowd, percent, width).run()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, width: int = WORDS) -> DataFrame:
@@ -421,13 +545,10 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", perc
     spark = df.sparkSession
     source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = df.schema[key].dataType.simpleString()
-    scanned = stored(source.mapInArrow(_scan(percent, width), f"row {kind}, sig long, n long, cells int, counts binary"), "scan")
-    rows = scanned.where("n >= 0").select("row", "sig", "n")
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in scanned.where("n < 0").select("cells", "counts").groupBy("cells").applyInArrow(_sum_counts, "cells int, counts binary").collect():
-        counts[r["cells"] << 16 : (r["cells"] + 1) << 16] = np.frombuffer(r["counts"], np.int64)
-    crowd = spark.sparkContext.broadcast(crowding(counts))
-    buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), counts.sum() * ORDERS * (100 - percent) // 100 // BUCKET + 1))
+    rows = stored(source.mapInArrow(_scan(width), f"row {kind}, sig long, n long"), "scan")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET + 1))
+    crowd = spark.sparkContext.broadcast(levels(source.select("text"), buckets, width))
     stars = link_classes(source.select("text"), crowd, percent, width, buckets)
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("low"))
     placed = classes.join(stars.withColumnRenamed("child", "sig"), "sig", "left").select("sig", "low", F.coalesce("root", "sig").alias("root"))
