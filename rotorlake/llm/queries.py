@@ -37,7 +37,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,5 +95,53 @@ from parts"""
 _FILES_SQL = "select doc_id, concat_ws('/', source, doc_id // 1000, doc_id // 100, doc_id || '.txt') as path, text from documents"
 
 
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_LEAK_SQL = f"""
+with d as (select doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, {_WORD}) as ws from documents),
+b as (select item_id::varchar as item, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, {_WORD}) as ws from benchmark),
+phrases as (select item, least(len(ws), 10) as n, unnest(range(0, len(ws) - least(len(ws), 10) + 1)) as i, ws from b where len(ws) > 0),
+phrase as (select distinct item, n, array_to_string(ws[i + 1 : i + n], ' ') as p from phrases),
+sizes as (select distinct n from phrase),
+places as (select doc_id, n, unnest(range(0, len(ws) - n + 1)) as i, ws from d, sizes where len(ws) >= n),
+hits as (select doc_id, n, i, item from (select doc_id, n, i, array_to_string(ws[i + 1 : i + n], ' ') as p from places) join phrase using (n, p)),
+covered as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(i, i + n)) as pos from hits) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hits) group by doc_id)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join found using (doc_id)"""
+
+_JOIN_SQL = f"""
+with recursive d as (select doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as ws from documents),
+places as (select doc_id, ws, least(len(ws), 5) as n, unnest(range(0, len(ws) - least(len(ws), 5) + 1)) as i from d where len(ws) > 0),
+s as (select distinct doc_id, array_to_string(ws[i + 1 : i + n], ' ') as g from places),
+size as (select doc_id, count(*) as n from s group by doc_id),
+pair as (select x.doc_id as a, y.doc_id as b, count(*) as n from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by all),
+link as (select a, b from pair join size x on x.doc_id = a join size y on y.doc_id = b where 100 * pair.n >= 75 * (x.n + y.n - pair.n)),
+reach(doc_id, pos) as (select doc_id, doc_id from d union select reach.doc_id, link.b from reach join link on link.a = reach.pos),
+low as (select doc_id, min(pos) as component_id from reach group by doc_id)
+select d.doc_id, coalesce(size.n, 0) as n_shingles, component_id from d join low using (doc_id) left join size using (doc_id)"""
+
+
+def _rules_sql() -> str:
+    shares = quality_rules.NGRAM_SHARES
+    sizes = ", ".join(map(str, [3, *shares]))
+    covers = ", ".join(f"coalesce(max(case when n = {n} then b end), 0) / greatest(any_value(bytes), 1)::double as coverage_{n}" for n in shares)
+    limits = " and ".join(f"coverage_{n} <= {most!r}" for n, most in shares.items())
+    return f"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+word as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as pos from d),
+base as (select doc_id, count(w) as n_words, coalesce(sum(length(w)), 0)::bigint as word_chars, coalesce(sum(strlen(w)), 0)::bigint as bytes from d left join word using (doc_id) group by doc_id),
+places as (select doc_id, n, unnest(range(0, len(ws) - n + 1)) as i, ws from d, (select unnest([{sizes}]) as n) where len(ws) >= n),
+gram as (select doc_id, n, i, count(*) over (partition by doc_id, n, array_to_string(ws[i + 1 : i + n], ' ')) as c from places),
+inside as (select distinct doc_id, n, unnest(range(i, i + n)) as pos from gram where c > 1),
+sums as (select doc_id, n, count(*) as words, sum(strlen(w)) as b from inside join word using (doc_id, pos) group by all),
+line as (select doc_id, i, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') as lw, row_number() over (partition by doc_id, l order by i) as r from (select doc_id, unnest(string_split(text, chr(10))) as l, unnest(range(len(string_split(text, chr(10))))) as i from d)),
+lines as (select doc_id, count(*) as n_dup_lines, sum(strlen(array_to_string(lw, ''))) as dup_bytes from line where len(lw) > 0 and r > 1 group by doc_id),
+shares as (select doc_id, {covers}, coalesce(max(case when n = 3 then words end), 0) as n_repeat_words from base left join sums using (doc_id) group by doc_id),
+full_ as (select d.doc_id, n_words, word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+ coalesce(dup_bytes, 0) / greatest(bytes, 1)::double as line_coverage, shares.* exclude (doc_id, n_repeat_words) from d join base using (doc_id) join shares using (doc_id) left join lines using (doc_id))
+select *, not base_failed and line_coverage <= {quality_rules.LINE_SHARE!r} and {limits} as kept from full_"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.sql(_FILES_SQL), "op2_url_filter": _URL_SQL}
+    return {"op1_license_scan": license_scan.sql(_FILES_SQL), "op2_url_filter": _URL_SQL, "op5_decontamination": _LEAK_SQL, "op7_ngram_jaccard": _JOIN_SQL, "op9_quality_rules": _rules_sql()}
