@@ -28,9 +28,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group, once."""
-    found = ngram_join.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__kept"], "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Keeps the document with the smallest id of each group, once; documents without an id stay.
+
+    Ids that go are joined, not ids that stay: they are few, so that texts seldom shuffle.
+    """
+    found = ngram_join.near_duplicates(docs).where("doc_id is not null")
+    ids = stored(found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "dropped")
+    once = docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    again = ids.where("stays").select("doc_id")
+    if again.isEmpty():
+        return once
+    return once.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
