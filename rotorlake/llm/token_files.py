@@ -18,6 +18,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import pretokens, simple8b
 from .common import slices, texts
-from .token_counts import frequent, library, parts, specials
+from .token_counts import frequent, library, parts, piece_ids, specials
 
 SEGMENT_IDS = 1 << 18
 _HEAD = struct.Struct("<4sIIQIQ")
@@ -57,10 +58,9 @@ class Encoder:
 
     def __init__(self, path: str, source: str, pieces: tuple[str, bytes]):
         self.tok, self.special, self.source = library(path), specials(path), source
-        make = lambda found: [np.asarray(self.tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in found]
+        make = lambda found: [np.asarray(ids, "<u4").tobytes() for ids in piece_ids(path, found)]
         known = [p for p, n in zip(pieces[0].split("\0"), pieces[1], strict=True) if n == 1] if pieces[1] else []
         self.cache = pretokens.Cache(make, dict(zip(known, make(known), strict=True)))
-        self.own = {s: np.asarray([self.tok.token_to_id(s)], "<u4").tobytes() for s in self.special}
 
     def encode(self, found: list[str], end: int) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
@@ -70,6 +70,12 @@ class Encoder:
         return [(whole(t) if p is None else b"".join(map(self.cache.__getitem__, p))) + last for t, p in zip(found, plain, strict=True)]
 
 
+@cache
+def encoder(path: str, source: str, pieces: tuple[str, bytes]) -> Encoder:
+    """One for each worker, over all its tasks."""
+    return Encoder(path, source, pieces)
+
+
 def write(df: DataFrame, folder: str, path: str, source: str, end: int, text: str = "text", key: str = "doc_id", segment_ids: int = SEGMENT_IDS) -> None:
     """Writes the token files of ``df`` into ``folder`` (which must be new)."""
     shared = df.sparkSession.sparkContext.broadcast(frequent(path, source))
@@ -77,7 +83,7 @@ def write(df: DataFrame, folder: str, path: str, source: str, end: int, text: st
     schema = f"range int, number int, base long, n_ids long, keys array<{kind}>, segment binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, number, base = Encoder(path, source, shared.value), TaskContext.get().partitionId(), 0, 0
+        own, part, number, base = encoder(path, source, shared.value), TaskContext.get().partitionId(), 0, 0
         keys, held, size = [], [], 0
 
         def segment() -> pa.RecordBatch:
