@@ -216,6 +216,16 @@ class Scorer:
         return names, scores
 
 
+_LAST: list[Scorer] = []
+
+
+def scorer(model: Model) -> Scorer:
+    """The worker's scorer of this model, which lasts over its tasks."""
+    if not _LAST or _LAST[0].model is not model:
+        _LAST[:] = [Scorer(model)]
+    return _LAST[0]
+
+
 def identify(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``df`` with the predicted language and its posterior added (replaced, where it has them)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -223,9 +233,9 @@ def identify(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_
     schema = out.drop("__text").schema.add(pred, "string").add(score, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        own = scorer(shared.value)
         for batch in slices(batches, "__text", 4 << 20):
-            names, scores = scorer.score(texts(batch, "__text")) if shared.value.languages else (["und"] * batch.num_rows, [0.0] * batch.num_rows)
+            names, scores = own.score(texts(batch, "__text")) if shared.value.languages else (["und"] * batch.num_rows, [0.0] * batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], pred, score])
 
     return out.mapInArrow(run, schema)
