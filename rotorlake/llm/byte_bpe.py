@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from . import pretokens
 from .common import slices, texts
@@ -104,7 +105,7 @@ def codec(path: str, source: str) -> Codec:
 def encode(df: DataFrame, path: str, source: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``df`` with an array of token ids added (replaced, where it has such a column)."""
     out = df.drop(ids).withColumn("__text", F.col(text).cast("string"))
-    schema = out.drop("__text").schema.add(ids, "array<int>")
+    schema = out.drop("__text").schema.add(ids, ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, source)
