@@ -38,10 +38,10 @@ from . import textstats as ts
 from .common import slices, stored
 from .components import components
 
-WORDS, PERCENT, K = 5, 75, 4
+WORDS, PERCENT, K = 5, 75, 24
 LEVEL_BITS, CELLS_USED, FREQUENT, SMALL, CROWDED, ORDERS = 24, 1 << 22, 24, 16, 8, 2
 #: Postings that a task packs at once, and that a bucket holds, about.
-PACK, BUCKET = 1 << 21, 1 << 21
+PACK, BUCKET = 1 << 19, 1 << 21
 NEED_BITS = 25
 FIRST_PIVOTS, MORE_PIVOTS, QUERY_BYTES = 2, 8, 16 << 20
 
@@ -86,8 +86,8 @@ def least_shared(n, percent: int):
 
 
 def weights(n: np.ndarray, percent: int) -> np.ndarray:
-    """What a shared prefix shingle counts for: K if the set is so small that one suffices."""
-    return np.where(least_shared(n, percent) < K, K, 1).astype(np.int32)
+    """What a shared prefix shingle counts for, so that as many as a set must share make K."""
+    return -(-K // np.maximum(1, np.minimum(K, least_shared(n, percent)))).astype(np.int32)
 
 
 def order_keys(shingles: np.ndarray, crowd: np.ndarray, order: int) -> np.ndarray:
@@ -147,7 +147,7 @@ def _counted(buckets: int, width: int):
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             part, often = found[x:y], np.flatnonzero(n[x:y] > 1)
             rows.append(int(slot[x]))
-            images.append(b"".join([np.array([y - x, len(often)], "<u4").tobytes(), _cut(part), often.astype("<u4").tobytes(), n[x:y][often].astype("<u4").tobytes()]))
+            images.append(b"".join([np.array([y - x, len(often)], "<u4").tobytes(), (part >> np.uint64(32)).astype("<u4").tobytes(), often.astype("<u4").tobytes(), n[x:y][often].astype("<u4").tobytes()]))
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(images, pa.binary())], names=["bucket", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,11 +165,6 @@ def _counted(buckets: int, width: int):
     return run
 
 
-def _cut(shingles: np.ndarray) -> bytes:
-    """The upper 40 bits of each, which hold its cell."""
-    return np.ascontiguousarray((shingles >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
 def _frequent(most: int):
     """The cells and levels of a bucket's frequent shingles, the ``most`` most frequent ones."""
 
@@ -177,21 +172,19 @@ def _frequent(most: int):
         tokens, counts = [], []
         for image in t.column("entries").to_pylist():
             m, often = (int(x) for x in np.frombuffer(image, "<u4", 2))
-            full = np.zeros((m, 8), np.uint8)
-            full[:, :5] = np.frombuffer(image, np.uint8, 5 * m, 8).reshape(m, 5)
-            n = np.ones(m, np.int64)
-            n[np.frombuffer(image, "<u4", often, 8 + 5 * m)] = np.frombuffer(image, "<u4", often, 8 + 5 * m + 4 * often)
-            tokens.append(full.view("<u8").ravel())
+            n = np.ones(m, np.uint32)
+            n[np.frombuffer(image, "<u4", often, 8 + 4 * m)] = np.frombuffer(image, "<u4", often, 8 + 4 * m + 4 * often)
+            tokens.append(np.frombuffer(image, "<u4", m, 8))
             counts.append(n)
         token, n = np.concatenate(tokens), np.concatenate(counts)
         order = np.argsort(token, kind="stable")
         token, n = token[order], n[order]
-        first = np.flatnonzero(np.diff(token, prepend=token[0] + np.uint64(1)))
-        token, n = token[first], np.add.reduceat(n, first)
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        token, n = token[first], np.add.reduceat(n.astype(np.int64), first)
         own = np.flatnonzero(n >= FREQUENT)
         own = own[np.argsort(-n[own], kind="stable")[:most]]
         level = np.minimum(np.log2(n[own] / FREQUENT).astype(np.int64) + 1, 63)
-        return pa.table({"cells": pa.array([(token[own] >> np.uint64(40 - LEVEL_BITS)).astype("<u4").tobytes()], pa.binary()), "levels": pa.array([level.astype(np.uint8).tobytes()], pa.binary())})
+        return pa.table({"cells": pa.array([(token[own] >> np.uint32(32 - LEVEL_BITS)).astype("<u4").tobytes()], pa.binary()), "levels": pa.array([level.astype(np.uint8).tobytes()], pa.binary())})
 
     return run
 
@@ -424,8 +417,14 @@ class Linker:
         self.percent, self.crowd = percent, crowd
         by_order = [F.coalesce(F.sum(F.when(F.col("ord") == o, F.col("shared"))), F.lit(0)).alias(f"s{o}") for o in range(ORDERS)]
         short = candidates.where("shared > 0").groupBy("a", "b").agg(*by_order)
-        rows = candidates.where("shared < 0").select("ord", F.col("b").alias("list"), F.col("a").alias("sig")).distinct()
+        rows = candidates.where("shared < 0").groupBy("ord", F.col("b").alias("list"), F.col("a").alias("sig")).agg((-F.min("shared")).alias("w"))
         rows = stored(rows.join(rows.groupBy("list").agg(F.count("*").alias("members")).where("members > 1").select("list"), "list", "left_semi"), "lists")
+        # what a set may share with any other, in long and short lists, must reach K under every order
+        shares = [rows.select("ord", "sig", "w")] + [candidates.where("shared > 0").select("ord", F.col(side).alias("sig"), F.col("shared").alias("w")) for side in "ab"]
+        may = shares[0].unionByName(shares[1]).unionByName(shares[2]).groupBy("sig").agg(*[F.coalesce(F.sum(F.when(F.col("ord") == o, F.col("w"))), F.lit(0)).alias(f"w{o}") for o in range(ORDERS)])
+        for o in range(ORDERS):
+            may = may.where(F.col(f"w{o}") >= K)
+        rows = stored(rows.select("ord", "list", "sig").join(may.select("sig"), "sig", "left_semi"), "able")
         self.any_long = not rows.isEmpty()
         self.long = rows.where("ord = 0").select("list", "sig")
         if self.any_long:  # both sets may share long lists beside their short ones
