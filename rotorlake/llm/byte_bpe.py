@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from . import pretokens
-from .common import slices, texts
+from .common import batched, slices, texts
 
 
 @cache
@@ -104,7 +104,7 @@ def codec(path: str, source: str) -> Codec:
 
 def encode(df: DataFrame, path: str, source: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``df`` with an array of token ids added (replaced, where it has such a column)."""
-    out = df.drop(ids).withColumn("__text", F.col(text).cast("string"))
+    out = batched(df).drop(ids).withColumn("__text", F.col(text).cast("string"))
     schema = out.drop("__text").schema.add(ids, ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def encode(df: DataFrame, path: str, source: str, text: str = "text", ids: str =
 
 def decode(df: DataFrame, path: str, source: str, ids: str = "token_ids", data: str = "decoded") -> DataFrame:
     """``df`` with the bytes that the ids stand for added; null ids give null."""
-    out = df.drop(data).withColumn("__ids", F.col(ids))
+    out = batched(df).drop(data).withColumn("__ids", F.col(ids))
     schema = out.drop("__ids").schema.add(data, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,5 +149,5 @@ def round_trip(df: DataFrame, path: str, source: str, text: str = "text", key: s
                 decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    out = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = batched(df).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("key", key)

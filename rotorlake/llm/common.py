@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch; texts and sets are long, and JVM and Python each hold a batch.
+BATCH_ROWS = 256
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches cut to BATCH_ROWS rows if they are longer."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def utf8_lengths(column: pa.Array) -> list[int]:
     """Bytes of each text; null counts as 0."""
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()
@@ -42,11 +54,6 @@ def texts(batch: pa.RecordBatch, text: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
 
 
-def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow``; the function gets batches and yields batches of ``schema``."""
-    return df.mapInArrow(function, schema)
-
-
 def hashed_remainder(column: Column, divisor: int) -> Column:
     """crc32 of the value as text, modulo ``divisor``; 0 for null."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % divisor, F.lit(0))
@@ -85,8 +92,3 @@ def removed(df: DataFrame) -> None:
         jvm = spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def arrow(schema: str | dict, **columns) -> pa.RecordBatch:
-    """A record batch of these columns."""
-    return pa.RecordBatch.from_pydict(columns, schema=schema)

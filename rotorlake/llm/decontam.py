@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import batched, slices, stored
 
 #: Characters of test items in one pass: their terms and phrases are broadcast, about 100 times that.
 ITEM_CHARS = 1 << 20
@@ -94,7 +94,7 @@ def build_index(df: DataFrame, terms: dict[bytes, int], gap: int, text: str = "t
             columns = [pa.array([batch.column(0).to_pylist()], pa.list_(batch.schema.field(0).type)), *(pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (n, found, counts, place[order]))]
             yield pa.RecordBatch.from_arrays(columns, names=["keys", "lengths", "terms", "counts", "positions"])
 
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = batched(df).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return stored(rows.mapInArrow(run, f"keys array<{kind}>, lengths binary, terms binary, counts binary, positions binary"), "postings")
 
 

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import batched, slices, texts
 
 #: Labelled rows of each language that training looks at.
 PER_LANGUAGE = 300
@@ -124,7 +124,7 @@ def train(df: DataFrame, path: str, text: str = "text", lang: str = "lang", key:
     row is taken, so that no group is sorted or collected.
     """
     spread = F.xxhash64(F.col(key).cast("string"))
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), spread.alias("h"))
+    rows = batched(df).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), spread.alias("h"))
     have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     chosen = F.lit(False)
     for language, n in have.items():
@@ -229,7 +229,7 @@ def scorer(model: Model) -> Scorer:
 def identify(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``df`` with the predicted language and its posterior added (replaced, where it has them)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    out = df.drop(pred, score).withColumn("__text", F.col(text).cast("string"))
+    out = batched(df).drop(pred, score).withColumn("__text", F.col(text).cast("string"))
     schema = out.drop("__text").schema.add(pred, "string").add(score, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats as ts
-from .common import slices, stored
+from .common import batched, slices, stored
 from .components import components
 
 WORDS, PERCENT, K = 5, 75, 24
@@ -542,7 +542,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", perc
     one component; a null key counts as larger than all others.
     """
     spark = df.sparkSession
-    source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    source = batched(df).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = df.schema[key].dataType.simpleString()
     rows = stored(source.mapInArrow(_scan(width), f"row {kind}, sig long, n long"), "scan")
     total = rows.agg(F.sum("n")).first()[0] or 0

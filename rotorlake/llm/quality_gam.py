@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats as ts
-from .common import slices
+from .common import batched, slices
 from .quality_rules import Texts
 
 #: Labelled rows that training takes at most.
@@ -167,7 +167,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     n = known.count()
     if n > most:
         known = known.where(spread_of("key") <= F.lit(int(most / n * 2.0**64 - 2.0**63)))
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), spread_of(key).alias("h")).join(F.broadcast(known), "key").select("h", "label", "text")
+    rows = batched(df).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), spread_of(key).alias("h")).join(F.broadcast(known), "key").select("h", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -185,7 +185,7 @@ def spread_of(key: str):
 def classify(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """``df`` with the score, from 0 to 1, added (replaced, where it has such a column)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    out = df.drop(score).withColumn("__text", F.col(text).cast("string"))
+    out = batched(df).drop(score).withColumn("__text", F.col(text).cast("string"))
     schema = out.drop("__text").schema.add(score, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

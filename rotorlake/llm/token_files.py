@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pretokens, simple8b
-from .common import slices, texts
+from .common import batched, slices, texts
 from .token_counts import frequent, library, parts, piece_ids, specials
 
 SEGMENT_IDS = 1 << 18
@@ -103,7 +103,7 @@ def write(df: DataFrame, folder: str, path: str, source: str, end: int, text: st
         if held:
             yield segment()
 
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = batched(df).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
     ordered.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(folder)
 
