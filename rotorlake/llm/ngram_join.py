@@ -439,13 +439,17 @@ class Linker:
         ids = self.pool.select(F.col("a").alias("sig")).unionByName(self.pool.select(F.col("b").alias("sig"))).unionByName(self.long.select("sig")).distinct()
         found = docs.mapInArrow(_records(_bitmap(ids), width), "sig long, shingles binary").groupBy("sig").agg(F.first("shingles").alias("shingles"))
         self.sets = stored(found, "sets", compression="uncompressed")
+        if self.any_long:
+            self.long = stored(self.long.join(self.sets.select("sig", (F.length("shingles") / 8).cast("int").alias("n")), "sig"), "long")
         self.stars: DataFrame | None = None
 
     def pivots(self, to: DataFrame, among: DataFrame, count: int, seed: int) -> DataFrame:
-        """Pairs of the sets ``to`` with a few of those ``among`` each list (list, sig, comp), across components."""
-        least = [F.min(F.struct(F.xxhash64("sig", F.lit(seed), F.lit(i)).alias("h"), F.col("sig").alias("p"), F.col("comp").alias("pc"))) for i in range(count)]
+        """Pairs of the sets ``to`` with a few of those ``among`` each list (list, sig, n, comp), across
+        components and of sizes that similar sets can have."""
+        least = [F.min(F.struct(F.xxhash64("sig", F.lit(seed), F.lit(i)).alias("h"), F.col("sig").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"))) for i in range(count)]
         few = among.groupBy("list").agg(F.array_distinct(F.array(*least)).alias("ps"))
-        pairs = to.join(few, "list").select("sig", "comp", F.explode("ps").alias("p")).where("comp <> p.pc").select("sig", "p.p")
+        sized = 100 * F.least("n", "p.pn") >= self.percent * F.greatest("n", "p.pn")
+        pairs = to.join(few, "list").select("sig", "comp", "n", F.explode("ps").alias("p")).where("comp <> p.pc").where(sized).select("sig", "p.p")
         return pairs.select(F.least("sig", "p").alias("a"), F.greatest("sig", "p").alias("b")).distinct()
 
     def link(self, links: DataFrame) -> None:
@@ -465,10 +469,10 @@ class Linker:
     def outside(self) -> tuple[DataFrame, DataFrame]:
         """Of lists with several components: the sets outside the largest one, and all sets."""
         placed = self.comp(self.long, "sig", "comp")
-        sizes = placed.groupBy("list", "comp").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("list").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("list", F.col("top.comp").alias("main"))
+        sizes = placed.groupBy("list", "comp").agg(F.count("*").alias("size"))
+        main = sizes.groupBy("list").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("list", F.col("top.comp").alias("main"))
         left = stored(placed.join(main, "list"), "open")
-        return left.where("comp <> main").select("list", "sig", "comp"), left.where("comp = main").select("list", "sig", "comp")
+        return left.where("comp <> main").select("list", "sig", "n", "comp"), left.where("comp = main").select("list", "sig", "n", "comp")
 
     def run(self) -> DataFrame:
         """``child, root`` of linked classes."""
