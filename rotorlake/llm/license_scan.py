@@ -39,6 +39,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "All rights reserved.",
 }
+#: Words of templates that all prose has; they are key words only where no others suffice.
+COMMON = frozenset("a all and are by for in is of or the this to use with without".split())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,7 +65,7 @@ def key_words(vectors: dict[str, dict[str, float]], least: float) -> list[str]:
     out: set[str] = set()
     for vector in vectors.values():
         rest = sum(x * x for x in vector.values())
-        for w in sorted(vector, key=lambda w: (-vector[w], -len(w), w)):
+        for w in sorted(vector, key=lambda w: (w in COMMON, -len(w), -vector[w], w)):  # rare words of prose first
             if rest < least * least - 1e-9:
                 break
             out.add(w)
