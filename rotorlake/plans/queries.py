@@ -187,15 +187,15 @@ def auto_mac(spark, d):
 
 @query(
     """with p as (select p_partkey, (1 + p_size) * 1e9 as e, 0.2 + (p_size % 20) / 100.0::double as nu, 2000.0::double + p_size * 10 as rho, p_retailprice as t from part)
- select p_partkey, round((e - 1e5 * (t - 293.15)) / 1e9, 6) as e_gpa, round((e - 1e5 * (t - 293.15)) / ((1 + nu) * (1 - 2 * nu)) * (1 - nu) / 1e9, 6) as d11_gpa,
- round((e - 1e5 * (t - 293.15)) / ((1 + nu) * (1 - 2 * nu)) * nu / 1e9, 6) as d12_gpa, round((e - 1e5 * (t - 293.15)) / ((1 + nu) * (1 - 2 * nu)) * (1 - 2 * nu) / 2 / 1e9, 6) as d44_gpa, e > 0 and nu > 0 and nu < 0.5 and rho > 0 as valid from p"""
+ select p_partkey, round((e - 1e5 * (t - 293.15)) / 1e9, 9) as e_gpa, round((e - 1e5 * (t - 293.15)) / ((1 + nu) * (1 - 2 * nu)) * (1 - nu) / 1e9, 9) as d11_gpa,
+ round((e - 1e5 * (t - 293.15)) / ((1 + nu) * (1 - 2 * nu)) * nu / 1e9, 9) as d12_gpa, round((e - 1e5 * (t - 293.15)) / ((1 + nu) * (1 - 2 * nu)) * (1 - 2 * nu) / 2 / 1e9, 9) as d44_gpa, e > 0 and nu > 0 and nu < 0.5 and rho > 0 as valid from p"""
 )
 def materials(spark, d):
     """P1, P2, P3."""
     p = views.table(spark, d, "part").select("p_partkey", ((1 + F.col("p_size")) * 1e9).alias("e"), (0.2 + F.col("p_size") % 20 / 100.0).alias("nu"), (2000.0 + F.col("p_size") * 10).alias("rho"), F.col("p_retailprice").alias("t"))
     p = p.withColumn("scaled", physics.scaled_modulus(F.col("e"), F.lit(-1e5), F.col("t"), F.lit(293.15)))
     law = physics.constitutive(F.col("scaled"), F.col("nu"))
-    r = lambda c: F.round(c / 1e9, 6)
+    r = lambda c: F.round(c / 1e9, 9)
     return p.select("p_partkey", r(F.col("scaled")).alias("e_gpa"), r(law[0][0]).alias("d11_gpa"), r(law[0][1]).alias("d12_gpa"), r(law[3][3]).alias("d44_gpa"), physics.valid_material(F.col("e"), F.col("nu"), F.col("rho")).alias("valid"))
 
 
