@@ -88,8 +88,8 @@ def test_near_duplicates_by_brute_force(odd, none):
     assert ngram_join.near_duplicates(none).count() == 0
 
 
-def test_near_duplicates_in_long_lists(spark, monkeypatch, odd_texts):
-    """A large group of near copies, short texts and shared passages, with every list long or crowded."""
+def test_near_duplicates_in_long_lists(spark, odd_texts):
+    """A large group of near copies, short texts and shared passages."""
     base = odd_texts[9].split()
     r = np.random.default_rng(3)
     docs = []
@@ -100,11 +100,7 @@ def test_near_duplicates_in_long_lists(spark, monkeypatch, odd_texts):
         docs.append((200 - i, " ".join(w)))
     docs += [(300 + i, " ".join([*base[:60], *(f"u{i}x{k}" for k in range(int(r.integers(20, 120))))])) for i in range(30)]
     docs += [(400 + i, " ".join(f"s{i % 4}w{k}" for k in range(1 + i % 7))) for i in range(40)]
-    want = naive_groups(docs)
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert joined(df) == want
-    monkeypatch.setattr(ngram_join, "SMALL", 2)
-    assert joined(df) == want
+    assert joined(spark.createDataFrame(docs, "doc_id long, text string")) == naive_groups(docs)
 
 
 def test_contract_finds_components():
