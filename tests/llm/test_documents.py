@@ -36,7 +36,7 @@ def naive_leaks(docs, items, width):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("chars", [1 << 20, 40])
+@pytest.mark.parametrize("chars", [1 << 20, 150])
 def test_leaks_by_brute_force(spark, odd, none, odd_texts, chars):
     base = odd_texts[9]
     items = [(1, " ".join(base.split()[50:75])), (2, "a b"), (10, base.upper()[:90]), (3, None), (4, "..."), (5, "a a a"), (6, "ta ta ta ta ta ta ta ta ta ta ta")]
