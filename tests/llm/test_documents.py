@@ -123,6 +123,18 @@ def test_components_over_several_tasks(spark):
     assert found == {i: 0 if i <= 30 else 31 for i in range(61) if i not in (0, 31)}
 
 
+def test_components_whose_links_do_not_meet_in_a_task(spark):
+    """Chains over many parts, one hub, and random links, with more stars left than a task takes."""
+    r = np.random.default_rng(1)
+    path = r.permutation(300)
+    a = np.concatenate([path[:-1], np.full(200, 1000), r.integers(2000, 2400, 250)])
+    b = np.concatenate([path[1:], np.arange(1001, 1201), r.integers(2000, 2400, 250)])
+    links = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long")
+    child, root = components.contract(a, b)
+    rows = components.components(links, per_task=100).collect()
+    assert sorted((x["child"], x["root"]) for x in rows) == sorted(zip(child.tolist(), root.tolist(), strict=True))
+
+
 def test_languages_on_held_out_rows(spark, sf_dir, odd, none):
     rows = queries.op6_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows) > 0
