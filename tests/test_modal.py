@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rotorlake.functions import physics
 from rotorlake.operators import modal, response
+from rotorlake.plans import queries
 
 MODE = "rpm double, k int, mode_idx int, freq_hz double, whirl int"
 
@@ -56,6 +57,13 @@ def test_tracking_follows_swapped_modes_and_gaps(spark):
     assert got == {(0.0, 0): 0, (0.0, 1): 1, (2000.0, 0): 1, (2000.0, 1): 0, (5000.0, 0): 0, (5000.0, 1): 1}
 
 
+def test_mode_tracking_takes_every_shape(spark, tmp_path):
+    rows = [(i, 1, [1.0, 0.0] if i < 707 else [0.0, 1.0]) for i in range(700, 714)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["rpm"], r["track"], r["mode_idx"]) for r in queries.mode_tracking(spark, str(tmp_path)).collect()}
+    assert got == {(1000.0 * i, t, t) for i in range(7) for t in (0, 1)}
+
+
 def test_mac_identities(spark):
     df = spark.createDataFrame([([1.0, 2.0], [2.0, 4.0]), ([1.0, 0.0], [0.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert [round(r[0], 12) for r in df.select(modal.mac(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0]
