@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rotorlake.kernels import eigen, element, fluid
 from rotorlake.operators import fem, mesh, sparse
+from rotorlake.plans import queries
 from rotorlake.sources import msh, results
 
 N = 24
@@ -95,6 +96,11 @@ def test_cyclic_modes(spark, sector, matrices, pairs):
     assert {r["whirl"] for r in split} == {1, -1} and len(split) == 4
 
 
+def test_cyclic_sweep_solves_every_harmonic(spark, sf_dir):
+    rows = queries.cyclic_sweep(spark, sf_dir).groupBy("rpm").agg(F.sort_array(F.collect_set("k")).alias("k")).collect()
+    assert len(rows) == 7 and all(r["k"] == list(range(N // 2 + 1)) for r in rows)
+
+
 def test_static_solution_grows_with_speed_squared(spark, sector, matrices, pairs):
     terms = fem.cyclic_terms(matrices, pairs, N)
     force = fem.cyclic_terms(matrices.where("mat = 'F'"), pairs.limit(0), N)
