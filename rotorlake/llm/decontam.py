@@ -8,9 +8,9 @@ The index is a table in the shared folder; a document's postings are all in one
 Search: within each block, a phrase (window of test words) starts from the list of its
 rarest word and is intersected with the lists of its other words, rarest first, each shifted
 by its offset in the phrase. Nothing is shuffled and no candidate leaves its block. The
-items are searched in blocks of at most ITEM_CHARS characters, whose terms and phrases are
-broadcast, with an index and a pass for each; a document's hits from several passes meet by
-its block and number.
+items are searched in blocks of at most ITEM_CHARS characters, whose phrases are broadcast
+with a pass over the one index for each; a document's hits from several passes meet by the
+stored number of its block and its place there. The terms of all items are broadcast once.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z become a-z. An item with fewer words
 than a window is one window; an item or document without words (or null) has none. Rows
@@ -20,17 +20,17 @@ whose words occur within ``span`` words of one occurrence of its rarest word, in
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batched, slices, stored
 
-#: Characters of test items in one pass: their terms and phrases are broadcast, about 100 times that.
+#: Characters of test items in one pass: their phrases are broadcast, about 100 times that.
 ITEM_CHARS = 1 << 20
 #: Bytes of text in an index block; candidates that are intersected at once.
 BLOCK_BYTES, CANDIDATES = 4 << 20, 1 << 20
@@ -71,13 +71,14 @@ class Phrases:
 
 
 def build_index(df: DataFrame, terms: dict[bytes, int], gap: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The stored index: per block ``keys, lengths`` of documents, ``terms, counts, positions``."""
+    """The stored index: per ``block``, numbered, ``keys, lengths`` of documents, ``terms, counts, positions``."""
     kind = df.schema[key].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shared.value.get
-        for batch in slices(batches, "text", BLOCK_BYTES):
+        first = TaskContext.get().partitionId() << 33
+        for at, batch in enumerate(slices(batches, "text", BLOCK_BYTES)):
             ids, lengths = [], []
             for t in batch.column(1):
                 buffer = t.as_buffer()
@@ -91,11 +92,11 @@ def build_index(df: DataFrame, terms: dict[bytes, int], gap: int, text: str = "t
             known = np.flatnonzero(flat >= 0)
             order = known[np.argsort(flat[known], kind="stable")]
             found, counts = np.unique(flat[order], return_counts=True)
-            columns = [pa.array([batch.column(0).to_pylist()], pa.list_(batch.schema.field(0).type)), *(pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (n, found, counts, place[order]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["keys", "lengths", "terms", "counts", "positions"])
+            columns = [pa.array([first + at]), pa.array([batch.column(0).to_pylist()], pa.list_(batch.schema.field(0).type)), *(pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (n, found, counts, place[order]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "keys", "lengths", "terms", "counts", "positions"])
 
     rows = batched(df).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return stored(rows.mapInArrow(run, f"keys array<{kind}>, lengths binary, terms binary, counts binary, positions binary"), "postings")
+    return stored(rows.mapInArrow(run, f"block long, keys array<{kind}>, lengths binary, terms binary, counts binary, positions binary"), "postings")
 
 
 class Block:
@@ -185,21 +186,20 @@ def find_leaks(df: DataFrame, items: DataFrame, width: int = 10, span: int = 20,
     ``spans`` are the [first, one past the last) words that occurring windows cover.
     """
     spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
-    schema = f"block string, number int, key {kind}, n_words long, item_ids array<string>, spans array<struct<begin:int,end:int>>, n_near long"
+    schema = f"block long, number int, key {kind}, n_words long, item_ids array<string>, spans array<struct<begin:int,end:int>>, n_near long"
 
     def passed(block_items: list[tuple]) -> DataFrame:
         found = windows(block_items, width)
-        terms = {w: i for i, w in enumerate(sorted({w for phrase in found for w in phrase}))}
         shared = spark.sparkContext.broadcast(Phrases(found, width, terms))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases = shared.value
             for batch in batches:
                 for row in range(batch.num_rows):
-                    keys, *parts = (c[row] for c in batch.columns)
-                    yield _searched(keys.values, [p.as_py() for p in parts], phrases, span)
+                    name, keys, *parts = (c[row] for c in batch.columns)
+                    yield _searched(name.as_py(), keys.values, [p.as_py() for p in parts], phrases, span)
 
-        return build_index(df, terms, width, text, key).mapInArrow(run, schema)
+        return index.mapInArrow(run, schema)
 
     blocks, size = [[]], 0
     for item in items.select(item_key, F.col(item_text).cast("string")).toLocalIterator():
@@ -208,6 +208,8 @@ def find_leaks(df: DataFrame, items: DataFrame, width: int = 10, span: int = 20,
             blocks.append([])
             size = len(item[1] or "")
         blocks[-1].append((item[0], item[1]))
+    terms = {w: i for i, w in enumerate(sorted({w for part in blocks for _, t in part for w in words(t)}))}
+    index = build_index(df, terms, width, text, key)
     out = passed(blocks[0])
     if len(blocks) > 1:
         for more in blocks[1:]:
@@ -221,7 +223,7 @@ def find_leaks(df: DataFrame, items: DataFrame, width: int = 10, span: int = 20,
     return out.select(F.col("key").alias(key), "n_words", covered.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "spans", "n_near")
 
 
-def _searched(keys: pa.Array, parts: list[bytes], phrases: Phrases, span: int) -> pa.RecordBatch:
+def _searched(name: int, keys: pa.Array, parts: list[bytes], phrases: Phrases, span: int) -> pa.RecordBatch:
     """All documents of one block against one block of phrases."""
     block, n = Block(*parts, gap=phrases.width), len(keys)
     phrase, position, near_phrase, near_position = search(block, phrases, span)
@@ -236,10 +238,8 @@ def _searched(keys: pa.Array, parts: list[bytes], phrases: Phrases, span: int) -
     names = pa.array(phrases.names, pa.string()).take(pa.array(item)) if len(item) else pa.array([], pa.string())
     offsets = lambda x: pa.array(np.searchsorted(x, np.arange(n + 1)).astype(np.int32))
     pairs = pa.StructArray.from_arrays([pa.array((x - block.starts[of]).astype(np.int32)) for x in (begin, end)], names=["begin", "end"])
-    # names a block of documents by what it holds, so that passes meet again
-    name = hashlib.sha256(repr(keys.to_pylist()).encode() + parts[0]).hexdigest()
     columns = [
-        pa.array([name] * n), pa.array(np.arange(n, dtype=np.int32)), keys, pa.array(block.lengths), pa.ListArray.from_arrays(offsets(doc), names),
+        pa.array([name] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), keys, pa.array(block.lengths), pa.ListArray.from_arrays(offsets(doc), names),
         pa.ListArray.from_arrays(offsets(of), pairs), pa.array(np.bincount(near_doc, minlength=n)),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["block", "number", "key", "n_words", "item_ids", "spans", "n_near"])

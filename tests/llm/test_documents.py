@@ -50,6 +50,13 @@ def test_leaks_by_brute_force(spark, odd, none, odd_texts, chars):
     assert all(r["n_hit"] == 0 for r in decontam.find_leaks(df, nobody).collect())
 
 
+def test_equal_blocks_stay_apart_over_several_passes(spark):
+    one = spark.createDataFrame([(None, "alpha beta gamma")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "item_id long, text string")
+    rows = decontam.find_leaks(one.union(one), items, item_chars=10).collect()
+    assert [(r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in rows] == [(None, 3, 3, ["1", "2"])] * 2
+
+
 def test_near_phrases_are_counted(spark):
     docs = spark.createDataFrame([(1, "x delta beta filler alpha gamma y"), (2, "alpha " + "z " * 60 + "beta gamma delta")], "doc_id long, text string")
     found = {r["doc_id"]: (r["n_items"], r["n_near"]) for r in decontam.find_leaks(docs, spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")).collect()}
