@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rotorlake.llm import byte_bpe, decontam, langid, ngram_join, quality_gam, queries
-from rotorlake.llm.common import stored, table
+from rotorlake.llm.common import small_batches, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("quality_classifier", quality), ("language_id", language), ("ngram_jaccard", near_duplicates), ("decontamination", decontaminate), ("byte_bpe", tokens)]
+STAGES = [(name, small_batches(stage)) for name, stage in (("quality_classifier", quality), ("language_id", language), ("ngram_jaccard", near_duplicates), ("decontamination", decontaminate), ("byte_bpe", tokens))]
 
 #: The classifier, the language model and components have no counterpart in SQL.
 ORACLE_SQL = None

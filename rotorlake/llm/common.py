@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,16 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch; texts and sets are long, and JVM and Python each hold a batch.
+#: Rows of an Arrow batch in the queries of this package; texts are long, and JVM and Python each hold a batch.
 BATCH_ROWS = 256
 
 
-def batched(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches cut to BATCH_ROWS rows if they are longer."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
-    return df
+def small_batches(run):
+    """A query that first cuts its session's Arrow batches to BATCH_ROWS rows, if they are longer.
+
+    This is a choice of applications: operators cut what they get into slices, whatever the
+    setting, and leave it alone.
+    """
+
+    @wraps(run)
+    def set_first(spark: SparkSession, *args):
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
+        return run(spark, *args)
+
+    return set_first
 
 
 def utf8_lengths(column: pa.Array) -> list[int]:
@@ -86,9 +96,40 @@ def stored(df: DataFrame, what: str, partition_by: tuple[str, ...] = (), compres
 
 def removed(df: DataFrame) -> None:
     """Deletes the files behind a table that :func:`stored` wrote, once nothing reads them."""
-    spark = df.sparkSession
     files = df.inputFiles()
     if files:
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(df.sparkSession, files[0].rpartition("/")[0])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables of one computation in the shared folder, deleted at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders, self.tables = spark, [], []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.tables:
+            self.spark.sql(f"drop table if exists {name}")
+        for folder in self.folders:
+            _delete(self.spark, folder)
+
+    def stored(self, df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
+        """Like :func:`stored`."""
+        self.folders.append(shared_folder(self.spark, what))
+        df.write.option("compression", compression).parquet(self.folders[-1])
+        return self.spark.read.schema(df.schema).parquet(self.folders[-1])
+
+    def bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """``df``, partitioned by ``key`` already, as a table that joins on it don't shuffle."""
+        self.folders.append(shared_folder(self.spark, "sets"))
+        self.tables.append("sets_" + self.folders[-1].rpartition("-")[2])
+        df.write.option("path", self.folders[-1]).option("compression", "uncompressed").bucketBy(buckets, key).sortBy(key).saveAsTable(self.tables[-1], format="parquet")
+        return self.spark.table(self.tables[-1])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, decontam, langid, license_scan, ngram_join, quality_gam, quality_rules, token_counts, token_files, url_filter
-from .common import hashed_remainder, shared_folder, table
+from .common import hashed_remainder, shared_folder, small_batches, table
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 RANKS, TOKENIZER, PIECES = (public_tokenizers.path(x) for x in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -75,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_license_scan, op2_url_filter, op3_byte_bpe, op4_token_files, op5_decontamination, op6_language_id, op7_ngram_jaccard, op8_token_counts, op9_quality_rules, op10_quality_classifier, pipeline]
-    return {f.__name__: f for f in own}
+    return {f.__name__: small_batches(f) for f in own}
 
 
 _URL_SQL = """

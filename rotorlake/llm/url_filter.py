@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched
 
 TRIE_BYTES = 32 << 20
 _HOST, _PATH = r"://([^/?#]*)", r"://[^/?#]*([^?#]*)"
@@ -78,7 +77,7 @@ class Trie:
 
 def filter_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", key: str = "page_id", default: str = "allow", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """``key, host, path, rule, verdict`` of each row; other columns of ``df`` aren't read."""
-    df, trie = batched(df), Trie(rules)
+    trie = Trie(rules)
     if len(pickle.dumps(trie)) > trie_bytes:
         return _joined(df, rules, url, key, default)
     shared = df.sparkSession.sparkContext.broadcast(trie)
