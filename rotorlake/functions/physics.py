@@ -11,7 +11,7 @@ from .pairs import Pair, over, squared
 
 TWO_PI = 2 * math.pi
 #: Added-mass factors for 0 to 10 nodal diameters.
-KWAK_GAMMA = (0.6526, 0.3910, 0.2737, 0.2078, 0.1660, 0.1373, 0.1165, 0.1007, 0.0884, 0.0784, 0.0695)
+KWAK_GAMMA = (0.6526, 0.3910, 0.2737, 0.2078, 0.1660, 0.1372, 0.1163, 0.1003, 0.0878, 0.0777, 0.0695)
 
 
 def hertz(squared_omega: Column) -> Column:
@@ -103,3 +103,66 @@ def cylindrical(p1: Column, p2: Column, d1: Column, d2: Column) -> tuple[Column,
     r = F.sqrt(p1 * p1 + p2 * p2)
     off = r >= 1e-10
     return r, F.when(off, (p1 * d1 + p2 * d2) / r), F.when(off, (p1 * d2 - p2 * d1) / r)
+
+
+def corrected_mass(val: Column, n: Column, fluid: Column, solid: Column, radius: Column, thickness: Column) -> Column:
+    """An entry of the mass matrix with the fluid's share."""
+    return val * (1 + kwak_gamma(n) * (fluid / solid) * (radius / thickness))
+
+
+def rotation(axis: str, angle: float) -> list[list[float]]:
+    """The matrix of a turn about an axis."""
+    c, s = math.cos(angle), math.sin(angle)
+    i, j, k = {"z": (0, 1, 2), "x": (1, 2, 0), "y": (2, 0, 1)}[axis]
+    out = [[0.0] * 3 for _ in range(3)]
+    out[i][i], out[i][j], out[j][i], out[j][j], out[k][k] = c, -s, s, c, 1.0
+    return out
+
+
+def rotation_4x4(axis: str, angle: float) -> list[float]:
+    """The same as a flat homogeneous matrix, row by row."""
+    return [*(v for row in rotation(axis, angle) for v in (*row, 0.0)), 0.0, 0.0, 0.0, 1.0]
+
+
+def aligned(axis: str) -> list[Column]:
+    """Columns x, y, z with ``axis`` moved to z by a cyclic exchange."""
+    order = {"x": "yzx", "y": "zxy", "z": "xyz"}[axis]
+    return [F.col(c).alias(to) for c, to in zip(order, "xyz", strict=True)]
+
+
+def component(name: str, parts: dict[str, Pair]) -> Column:
+    """What a picture of a mode shows of complex displacements, by axis."""
+    if name in parts:
+        return parts[name][0]
+    total = lambda i: F.sqrt(sum((p[i] * p[i] for p in parts.values()), F.lit(0.0)))
+    if name == "magnitude":
+        return F.sqrt(sum((squared(p) for p in parts.values()), F.lit(0.0)))
+    if name in ("real", "imag"):
+        return total(0 if name == "real" else 1)
+    raise ValueError(f"unknown component {name}")
+
+
+def condition_label(temperature: Column) -> Column:
+    """A condition's annotation; empty at the default temperature."""
+    return F.when(temperature != 293.15, F.format_string("T=%.0fK", temperature)).otherwise("")
+
+
+def harmonic_bytes(n: Column, modes: int, complex_entries: bool = True) -> Column:
+    """Memory of one harmonic's solve: factor and Lanczos vectors."""
+    width = 16 if complex_entries else 8
+    return 800.0 * F.pow(n.cast("double"), F.lit(4.0 / 3.0)) + 2.0 * n * (F.least(F.lit(4 * modes + 1), n) + 1) * width
+
+
+def target_dofs(free: int, modes: int, available: float) -> int:
+    """The most degrees of freedom whose solve fits the memory, by Newton's method."""
+    vectors, n = 4 * modes + 1, (available / 800.0) ** 0.75
+    for _ in range(10):
+        held = min(float(vectors), n)
+        slope = 800.0 * 4.0 / 3.0 * n ** (1.0 / 3.0) + 32.0 * held
+        new = n - (800.0 * n ** (4.0 / 3.0) + 32.0 * n * held - available) / slope
+        if new < 1.0:
+            return 1
+        done, n = abs(new - n) < 1.0, new
+        if done:
+            break
+    return max(1, min(math.floor(n), free))

@@ -68,8 +68,8 @@ def strain(grad: np.ndarray) -> np.ndarray:
     return b
 
 
-def matrices(x: np.ndarray, e: float, nu: float, rho: float) -> dict[str, np.ndarray]:
-    """Per element, stiffness and mass, and for unit speed about z spin softening,
+def matrices(x: np.ndarray, e: float, nu: float, rho: float, axis: str = "z") -> dict[str, np.ndarray]:
+    """Per element, stiffness and mass, and for unit speed about ``axis`` spin softening,
     gyroscopic matrix and centrifugal force. ``x``: (elements, 10, 3)."""
     points, weights = rule()
     grad, det = jacobians(x, points)
@@ -79,10 +79,11 @@ def matrices(x: np.ndarray, e: float, nu: float, rho: float) -> dict[str, np.nda
     nn = rho * np.einsum("pn,pm,ep->enm", n, n, scale, optimize=True)
     spread = lambda block: np.einsum("enm,ij->enimj", nn, block).reshape(len(x), 30, 30)
     at = np.einsum("pn,enk->epk", n, x)
-    force = np.zeros((len(x), 10, 3))
-    force[:, :, :2] = rho * np.einsum("pn,epk,ep->enk", n, at[:, :, :2], scale, optimize=True)
-    turn = np.array([[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
-    return {"K": k, "M": spread(np.eye(3)), "K_omega": spread(np.diag([1.0, 1.0, 0.0])), "G": spread(turn), "F": force.reshape(len(x), 30)}
+    a = np.eye(3)["xyz".index(axis)]
+    across = np.eye(3) - np.outer(a, a)
+    force = rho * np.einsum("pn,epk,ep->enk", n, at @ across, scale, optimize=True)
+    turn = np.cross(a, np.eye(3)).T
+    return {"K": k, "M": spread(np.eye(3)), "K_omega": spread(across), "G": spread(turn), "F": force.reshape(len(x), 30)}
 
 
 def stress_stiffness(x: np.ndarray, u: np.ndarray, e: float, nu: float) -> np.ndarray:

@@ -198,7 +198,8 @@ def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def nodal_circles(samples: DataFrame, max_lines: int = 9) -> DataFrame:
     """Circles of each mode from samples (mode, r, theta, value): lines at constant angle,
-    each aligned in phase, binned, smoothed, normalised and counted; the median line decides."""
+    binned, smoothed, normalised and counted; the median line decides. Complex samples are
+    brought in phase first (``studies.in_phase``)."""
 
     def count(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         r, theta, value = (rows[c].to_numpy(float) for c in ("r", "theta", "value"))

@@ -12,7 +12,7 @@ from ..functions import physics
 from ..operators import fem, mesh, modal, response, sparse
 from ..sources import results
 from . import views
-from .views import ELEMENTS, MODAL, NODES, SECTORS, TRIPLETS, TRUTH
+from .views import ELEMENTS, MODAL, NODES, SECTORS, TRIANGLES, TRIPLETS, TRUTH
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -162,14 +162,15 @@ def eo_aliasing(spark, d):
 
 
 @query(
-    """with s as (select vec_id, label as k, embedding::double[] as v from embeddings where vec_id < 200) select a.vec_id as i, b.vec_id as j,
- round(pow(list_dot_product(a.v, b.v), 2) / greatest(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v), 1e-300), 6) as mac from s a join s b on a.k = b.k"""
+    """with s as (select vec_id, label as k, vec_id // 64 as part, embedding::double[] as v from embeddings) select a.vec_id as i, b.vec_id as j,
+ round(pow(list_dot_product(a.v, b.v), 2) / greatest(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v), 1e-300), 6) as mac from s a join s b on a.k = b.k and b.part = a.part + 1"""
 )
 def mac_pairs(spark, d):
-    """Modes of one harmonic, those of the first 200 shapes as one result set."""
-    s = views.shapes(spark, d).where("vec_id < 200")
-    a, b = s.select(F.col("vec_id").alias("i"), "k", F.col("shape").alias("a")), s.select(F.col("vec_id").alias("j"), "k", F.col("shape").alias("b"))
-    return a.join(b, "k").select("i", "j", F.round(modal.mac(F.col("a"), F.col("b")), 6).alias("mac"))
+    """Shapes in result sets of 64, each set's modes against those of the next one, harmonic by harmonic."""
+    s = views.shapes(spark, d).withColumn("part", F.floor(F.col("vec_id") / 64))
+    a = s.select(F.col("vec_id").alias("i"), "k", (F.col("part") + 1).alias("part"), F.col("shape").alias("a"))
+    b = s.select(F.col("vec_id").alias("j"), "k", "part", F.col("shape").alias("b"))
+    return a.join(b, ["k", "part"]).select("i", "j", F.round(modal.mac(F.col("a"), F.col("b")), 6).alias("mac"))
 
 
 @query(
@@ -210,7 +211,7 @@ def damping(spark, d):
 
 
 @query(
-    f"""with {MODAL}, g as (select *, case when k <= 10 then ([{", ".join(map(str, physics.KWAK_GAMMA))}]::double[])[k + 1] else 0.65::double / pow(k + 0.05::double, 0.85::double) end as gamma from modal),
+    f"""with {MODAL}, g as (select *, case when k <= 10 then ([0.6526, 0.3910, 0.2737, 0.2078, 0.1660, 0.1372, 0.1163, 0.1003, 0.0878, 0.0777, 0.0695]::double[])[k + 1] else 0.65::double / pow(k + 0.05::double, 0.85::double) end as gamma from modal),
  q as (select *, 1 / sqrt(1 + gamma * (1000.0::double / 7800) * (0.3::double / 0.01)) as ratio from g) select rpm, k, mode_idx, round(ratio, 6) as ratio, round(freq_hz * ratio, 6) as wet_hz from q"""
 )
 def kwak_ratio(spark, d):
@@ -331,12 +332,12 @@ def eliminate_dofs(spark, d):
     return rounded(sparse.eliminate(sparse.assemble(views.triplets(spark, d)), free), "val", digits=4)
 
 
-@query("with e as (select vec_id as mode, unnest(range(64)) as dof, unnest(embedding)::double as v from embeddings where vec_id < 50) select mode, dof, case when dof % 7 = 0 then 0 else round(v, 6) end as val from e")
+@query("with e as (select vec_id as mode, unnest(range(64)) as dof, unnest(embedding)::double as v from embeddings) select mode, dof, case when dof % 7 = 0 then 0 else round(v, 6) end as val from e")
 def expand_modes(spark, d):
     """Shapes with fixed degrees of freedom back at full size."""
     dofs = spark.range(64).select(F.col("id").alias("dof"))
     free = sparse.free_map(dofs, dofs.where("dof % 7 = 0"))
-    vectors = views.shapes(spark, d).where("vec_id < 50").select(F.col("vec_id").alias("mode"), F.posexplode("shape").alias("dof", "val")).join(free, "dof").select("mode", "idx", "val")
+    vectors = views.shapes(spark, d).select(F.col("vec_id").alias("mode"), F.posexplode("shape").alias("dof", "val")).join(free, "dof").select("mode", "idx", "val")
     return rounded(sparse.expand(vectors, free, dofs), "val")
 
 
@@ -387,22 +388,16 @@ def boundary_faces(spark, d):
     return mesh.boundary_faces(views.elements(spark, d)).select("elem_id", "face_idx")
 
 
-@query(
-    f"""with {ELEMENTS}, e as (select unnest([least(corners[1], corners[2]), least(corners[2], corners[3]), least(corners[1], corners[3])]) as a, unnest([greatest(corners[1], corners[2]), greatest(corners[2], corners[3]), greatest(corners[1], corners[3])]) as b from boundary)
- select a, b from e group by all having count(*) = 1"""
-)
+@query(f"with {TRIANGLES} select e[1] as a, e[2] as b from triangle group by all having count(*) = 1")
 def boundary_edges(spark, d):
-    """A21."""
-    return mesh.boundary_edges(mesh.boundary_faces(views.elements(spark, d)))
+    """Of a strip of triangles."""
+    return mesh.boundary_edges(views.triangles(spark, d))
 
 
-@query(
-    f"""with {ELEMENTS}, e as (select elem_id, face_idx, unnest([[least(corners[1], corners[2]), greatest(corners[1], corners[2])], [least(corners[2], corners[3]), greatest(corners[2], corners[3])], [least(corners[1], corners[3]), greatest(corners[1], corners[3])]]) as e from boundary)
- select a.elem_id, a.face_idx, count(*) as neighbours from e a join e b on a.e = b.e and (a.elem_id <> b.elem_id or a.face_idx <> b.face_idx) group by all"""
-)
+@query(f"with {TRIANGLES} select a.elem_id, a.face_idx, count(*) as neighbours from triangle a join triangle b on a.e = b.e and a.elem_id <> b.elem_id group by all")
 def face_neighbours(spark, d):
     """J21."""
-    return mesh.face_neighbours(mesh.boundary_faces(views.elements(spark, d))).groupBy("face.elem_id", "face.face_idx").agg(F.count("*").alias("neighbours"))
+    return mesh.face_neighbours(views.triangles(spark, d)).groupBy("face.elem_id", "face.face_idx").agg(F.count("*").alias("neighbours"))
 
 
 @query(
@@ -419,10 +414,10 @@ def annulus_replicate(spark, d):
     return rounded(mesh.replicate(views.nodes(spark, d), 6, 100000), "x", "y")
 
 
-@query(f"with {NODES} select node_id as left_id, node_id + 1000000 as right_id, 0.0::double as distance from nodes where node_id < 17 * 23 * 5")
+@query(f"with {NODES} select node_id as left_id, node_id + 1000000 as right_id, 0.0::double as distance from nodes")
 def node_match(spark, d):
     """Points against their copies in the next sector, shuffled ids and all."""
-    left = views.nodes(spark, d).where("node_id < 17 * 23 * 5")
+    left = views.nodes(spark, d)
     a = 2 * math.pi / SECTORS
     right = left.select((F.col("node_id") + 1000000).alias("node_id"), (F.col("x") * math.cos(a) - F.col("y") * math.sin(a)).alias("x"), (F.col("x") * math.sin(a) + F.col("y") * math.cos(a)).alias("y"), "z")
     return rounded(mesh.match_boundaries(left, right, SECTORS), "distance")
@@ -483,12 +478,12 @@ def meridional_panels(spark, d):
 
 
 @query(
-    f"with {NODES}, {_PANELS}, x as (select node_id, s_suppkey, round(sqrt((sqrt(x * x + y * y) - r_mid) ** 2 + (nodes.z - z_mid) ** 2), 6) as distance from nodes, panel where line = 0) select node_id as point_id, min(distance) as distance from x group by all"
+    f"with {NODES}, {_PANELS}, x as (select node_id, s_suppkey, round(sqrt((sqrt(x * x + y * y) - r_mid) ** 2 + (nodes.z - z_mid) ** 2), 6) as distance from nodes, panel) select node_id as point_id, min(distance) as distance from x group by all"
 )
 def nearest_panel(spark, d):
     """J11."""
     points = views.nodes(spark, d).select(F.col("node_id").alias("point_id"), F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("r"), "z")
-    return rounded(mesh.nearest_panel(points, _panels(spark, d).where("line = 0").select(F.col("s_suppkey").alias("panel_id"), "r_mid", "z_mid")).select("point_id", "distance"), "distance")
+    return rounded(mesh.nearest_panel(points, _panels(spark, d).select(F.col("s_suppkey").alias("panel_id"), "r_mid", "z_mid")).select("point_id", "distance"), "distance")
 
 
 @query(f"with {NODES}, t as (select z, atan2(y, x) as theta from nodes), g as (select z, coalesce(lead(theta) over (partition by z order by theta) - theta, min(theta) over (partition by z) + {TWO_PI} - theta) as gap from t) select round(z, 6) as z, round(max(gap), 6) as max_gap, round({TWO_PI} - max(gap), 6) as span from g group by z")
@@ -525,7 +520,7 @@ _WEIGHT = "exp(-0.5 * ((b.bin - a.bin) / 1.5::double) ** 2)"
 
 
 @query(
-    f"""with b as (select user_id % 20 as track, least(greatest(floor((hour(ts) * 60 + minute(ts)) / 36.0), 0), 39)::int as bin, avg(value) as mean from events where user_id % 3 = 0 group by all),
+    f"""with b as (select user_id % 20 as track, least(greatest(floor((hour(ts) * 60 + minute(ts)) / 36.0), 0), 39)::int as bin, avg(value) as mean from events group by all),
  g as (select track, unnest(range(40))::int as bin from (select distinct track from b)), j as (select track, bin, mean from g left join b using (track, bin)),
  n as (select track, bin, last_value(mean ignore nulls) over p as v0, last_value(case when mean is not null then bin end ignore nulls) over p as b0, first_value(mean ignore nulls) over q as v1, first_value(case when mean is not null then bin end ignore nulls) over q as b1 from j
   window p as (partition by track order by bin rows between unbounded preceding and current row), q as (partition by track order by bin rows between current row and unbounded following)),
@@ -534,7 +529,7 @@ _WEIGHT = "exp(-0.5 * ((b.bin - a.bin) / 1.5::double) ** 2)"
 )
 def gaussian_smooth(spark, d):
     """A19, W4."""
-    e = views.table(spark, d, "events").where("user_id % 3 = 0").select((F.col("user_id") % 20).alias("track"), (F.hour("ts") * 60 + F.minute("ts")).alias("at"), "value")
+    e = views.table(spark, d, "events").select((F.col("user_id") % 20).alias("track"), (F.hour("ts") * 60 + F.minute("ts")).alias("at"), "value")
     rows = response.binned(e, ["track"], "at", "value", 0.0, 1440.0, 40)
     return rounded(response.smoothed(rows, ["track"], 40).select("track", "bin", "smooth"), "smooth")
 
@@ -627,7 +622,5 @@ def mistuned_modes(spark, d):
 def cyclic_sweep(spark, d):
     """A generated sector, for the speeds of the modal view."""
     parts = fem.annulus_sector(spark, radial=1, around=1)
-    pairs = mesh.match_boundaries(mesh.in_set(parts["nodes"], parts["sets"], "left_boundary"), mesh.in_set(parts["nodes"], parts["sets"], "right_boundary"), SECTORS)
-    terms = fem.cyclic_terms(fem.assembled(parts["elements"], parts["nodes"], 2e11, 0.3, 7800.0), pairs, SECTORS)
     speeds = views.modal(spark, d).select("rpm").distinct().select((F.col("rpm") / 1000).cast("int").alias("cond_id"), "rpm")
-    return fem.solve(terms, fem.fixed_dofs(parts["sets"]), speeds, SECTORS, 4).select("cond_id", "rpm", "k", "mode_idx", F.round("freq_hz", 3).alias("freq_hz"), "whirl", "status")
+    return fem.sector_modes(parts["elements"], parts["nodes"], parts["sets"], speeds, SECTORS, 4, {"e": 2e11, "nu": 0.3, "rho": 7800.0}).select("cond_id", "rpm", "k", "mode_idx", F.round("freq_hz", 3).alias("freq_hz"), "whirl", "status")

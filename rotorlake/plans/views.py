@@ -33,12 +33,12 @@ TRIPLETS = "triplets as (select (l_partkey % 97)::int as row, (l_suppkey % 97)::
 
 
 def nodes(spark, d) -> DataFrame:
-    """node_id, x, y, z: parts as points on a grid."""
+    """node_id, x, y, z: parts as points on a grid, no two at one place."""
     key = F.col("p_partkey")
-    return table(spark, d, "part").select(key.alias("node_id"), (key % 17 / 10.0 + 0.5).alias("x"), (key % 23 / 10.0 + 0.25).alias("y"), (key % 5 / 10.0).alias("z"))
+    return table(spark, d, "part").select(key.alias("node_id"), (key % 17 / 10.0 + 0.5).alias("x"), (key % 23 / 10.0 + 0.25).alias("y"), (F.floor(key / 1955) + key % 5 / 10.0).alias("z"))
 
 
-NODES = "nodes as (select p_partkey as node_id, (p_partkey % 17) / 10.0::double + 0.5::double as x, (p_partkey % 23) / 10.0::double + 0.25::double as y, (p_partkey % 5) / 10.0::double as z from part)"
+NODES = "nodes as (select p_partkey as node_id, (p_partkey % 17) / 10.0::double + 0.5::double as x, (p_partkey % 23) / 10.0::double + 0.25::double as y, (p_partkey // 1955) + (p_partkey % 5) / 10.0::double as z from part)"
 
 
 def shapes(spark, d) -> DataFrame:
@@ -47,19 +47,28 @@ def shapes(spark, d) -> DataFrame:
 
 
 def elements(spark, d) -> DataFrame:
-    """elem_id, conn: order lines as tetrahedra of four near ids, with edge nodes after them."""
+    """elem_id, conn: orders as tetrahedra of four ids that follow each other, so that neighbours
+    share a face, with edge nodes after them."""
     o = F.col("o_orderkey")
-    corner = [o % 50, o % 50 + 50 + o % 3, o % 50 + 100 + o % 2, o % 50 + 150 + o % 5]
-    edge = [(c + 1000).cast("int") for c in (corner[0] + corner[1], corner[1] + corner[2], corner[0] + corner[2], corner[0] + corner[3], corner[1] + corner[3], corner[2] + corner[3])]
-    return table(spark, d, "orders").select(o.alias("elem_id"), F.array(*[c.cast("int") for c in corner], *edge).alias("conn")).where("elem_id % 3 = 0")
+    corner = [o, o + 1, o + 2, o + 3]
+    edge = [4 * corner[i] + (j - i) + 1_000_000_000 for i, j in ((0, 1), (1, 2), (0, 2), (0, 3), (1, 3), (2, 3))]
+    return table(spark, d, "orders").select(o.alias("elem_id"), F.array(*corner, *edge).alias("conn"))
 
 
-_CORNERS = "o_orderkey % 50, o_orderkey % 50 + 50 + o_orderkey % 3, o_orderkey % 50 + 100 + o_orderkey % 2, o_orderkey % 50 + 150 + o_orderkey % 5"
-ELEMENTS = f"""elements as (select o_orderkey as elem_id, [{_CORNERS}]::int[] as c from orders where o_orderkey % 3 = 0),
-faces as (select elem_id, unnest([0, 1, 2, 3])::int as face_idx, unnest([[c[1], c[2], c[3]], [c[1], c[2], c[4]], [c[2], c[3], c[4]], [c[1], c[3], c[4]]]) as corners from elements),
+ELEMENTS = """elements as (select o_orderkey as elem_id, [o_orderkey, o_orderkey + 1, o_orderkey + 2, o_orderkey + 3] as c from orders),
+faces as (select elem_id, unnest([0, 1, 2, 3])::int as face_idx, unnest([[c[1], c[3], c[2]], [c[1], c[2], c[4]], [c[1], c[4], c[3]], [c[2], c[3], c[4]]]) as corners from elements),
 boundary as (select min(elem_id) as elem_id, min(face_idx) as face_idx, list_sort(corners) as sorted, min(corners) as corners from faces group by list_sort(corners) having count(*) = 1)"""
 
 
+def triangles(spark, d) -> DataFrame:
+    """elem_id, face_idx, nodes: orders as triangles of a strip, which shares no edge with itself but the next one's."""
+    o = F.col("o_orderkey")
+    return table(spark, d, "orders").select(o.alias("elem_id"), F.lit(0).alias("face_idx"), F.array(o, o + 1, o + 2).alias("nodes"))
+
+
+TRIANGLES = "triangle as (select o_orderkey as elem_id, 0 as face_idx, unnest([[o_orderkey, o_orderkey + 1], [o_orderkey + 1, o_orderkey + 2], [o_orderkey, o_orderkey + 2]]) as e from orders)"
+
+
 def truth(spark, d) -> tuple[DataFrame, DataFrame]:
     """(nd, j, freq_hz) as true and computed frequencies."""
     o = table(spark, d, "orders").groupBy((F.col("o_custkey") % 13).cast("int").alias("nd"), (F.col("o_orderkey") % 11).cast("int").alias("j"))

@@ -82,10 +82,11 @@ IGES_FLAG = {1: 0.0254, 2: 1e-3, 4: 0.3048, 5: 1609.344, 6: 1.0, 7: 1e3, 8: 2.54
 
 def step_unit(text: str) -> float | None:
     """Metres per length unit of a STEP file, or None."""
+    for m in re.finditer(r"SI_UNIT\s*\(\s*(\$|\.(\w+)\.)\s*,\s*\.METRE\.\s*\)", text):
+        if (unit := SI_PREFIX.get(m[2]) if m[2] else 1.0) is not None:
+            return unit
     if m := re.search(r"CONVERSION_BASED_UNIT\s*\(\s*'(\w+)'", text):
         return CONVERSION.get(m[1].upper())
-    for m in re.finditer(r"SI_UNIT\s*\(\s*(\$|\.(\w+)\.)\s*,\s*\.METRE\.\s*\)", text):
-        return SI_PREFIX.get(m[2], None) if m[2] else 1.0
     return None
 
 

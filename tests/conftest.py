@@ -24,3 +24,8 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"
+
+
+def pytest_collection_modifyitems(items):
+    """The engine's own tests first; those of the training-data operators take longest."""
+    items.sort(key=lambda item: "llm" in item.path.parts)
