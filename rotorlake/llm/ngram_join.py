@@ -500,7 +500,10 @@ class Linker:
         by_order = [F.coalesce(F.sum(F.when(F.col("ord") == o, F.col("shared"))), F.lit(0)).alias(f"s{o}") for o in range(ORDERS)]
         short = candidates.where("shared > 0").groupBy("a", "b").agg(*by_order)
         rows = candidates.where("shared < 0").groupBy("ord", F.col("b").alias("list"), F.col("a").alias("sig")).agg((-F.min("shared")).alias("w"))
-        rows = scratch.stored(rows.join(rows.groupBy("list").agg(F.count("*").alias("members")).where("members > 1").select("list"), "list", "left_semi"), "lists")
+        # what joins on lists is stored first, so that the join reads two shuffles and a long list can be split
+        rows = scratch.stored(rows, "rows")
+        several = scratch.stored(rows.groupBy("list").agg(F.count("*").alias("members")).where("members > 1").select("list"), "several")
+        rows = scratch.stored(rows.join(several, "list", "left_semi"), "lists")
         # what a set may share with any other, in long and short lists, must reach K under every order
         shares = [rows.select("ord", "sig", "w")] + [candidates.where("shared > 0").select("ord", F.col(side).alias("sig"), F.col("shared").alias("w")) for side in "ab"]
         may = shares[0].unionByName(shares[1]).unionByName(shares[2]).groupBy("sig").agg(*[F.coalesce(F.sum(F.when(F.col("ord") == o, F.col("w"))), F.lit(0)).alias(f"w{o}") for o in range(ORDERS)])
@@ -524,7 +527,6 @@ class Linker:
         """``a, b``: the sets ``to`` with a few of those ``among`` each list (list, sig, n, comp),
         across components and of sizes that similar sets can have."""
         least = [F.min(F.struct(F.xxhash64("sig", F.lit(seed), F.lit(i)).alias("h"), F.col("sig").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"))) for i in range(count)]
-        # stored, so that the join below reads two shuffles and a long list can be split
         few = self.scratch.stored(among.groupBy("list").agg(F.array_distinct(F.array(*least)).alias("ps")), "pivots")
         sized = 100 * F.least("n", "p.pn") >= self.percent * F.greatest("n", "p.pn")
         return to.join(few, "list").select("sig", "comp", "n", F.explode("ps").alias("p")).where("comp <> p.pc").where(sized).select(F.col("sig").alias("a"), F.col("p.p").alias("b")).distinct()
@@ -557,7 +559,7 @@ class Linker:
         placed = self.comp(self.long, "sig", "comp")
         sizes = placed.groupBy("list", "comp").agg(F.count("*").alias("size"))
         main = sizes.groupBy("list").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("list", F.col("top.comp").alias("main"))
-        left = self.scratch.stored(placed.join(main, "list"), "open")
+        left = self.scratch.stored(placed.join(self.scratch.stored(main, "main"), "list"), "open")
         return left.where("comp <> main").select("list", "sig", "n", "comp"), left.where("comp = main").select("list", "sig", "n", "comp")
 
     def run(self) -> DataFrame:
