@@ -3,9 +3,12 @@
 Each token's bytes map to printable characters one by one; piece ``i`` is the token of rank
 ``i`` with score ``-i``, so that the merge of lowest rank comes first, leftmost among equals,
 as the rank files mean it. Normalisation is the identity. Pre-tokens are encoded one at a
-time, behind a bounded cache, and ids are decoded by the inverse mapping.
+time, behind a bounded cache of the units that texts are cut into (one or more whole
+pre-tokens), and ids are decoded by the inverse mapping.
 
-Null texts count as empty; an empty text has no ids.
+Null texts count as empty; an empty text has no ids. Rows are coded one by one: ties and
+repeated rows don't matter, and an empty table gives no rows. Of columns beside the text,
+those that the result adds are replaced, the others kept.
 """
 
 from __future__ import annotations
@@ -81,16 +84,18 @@ class Codec:
         self.chars = dict(zip(range(256), byte_characters(), strict=True))
         self.cache = pretokens.Cache(self._pieces)
 
-    def _pieces(self, pieces: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each pre-token."""
-        mapped = [piece.encode().decode("latin-1").translate(self.chars) for piece in pieces]
-        return (np.asarray(ids, "<u4").tobytes() for ids in self.sp.encode(mapped, num_threads=1))
+    def _pieces(self, found: list[str]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each unit, pre-token by pre-token."""
+        cut = [pretokens.split(unit, self.source) for unit in found]
+        mapped = [piece.encode().decode("latin-1").translate(self.chars) for pieces in cut for piece in pieces]
+        ids = iter(self.sp.encode(mapped, num_threads=1))
+        return (np.asarray([i for _ in pieces for i in next(ids)], "<u4").tobytes() for pieces in cut)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        cut = [pretokens.split(text, self.source) for text in texts]
+        cut = [pretokens.units(text, self.source) for text in texts]
         self.cache.learn(cut)
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, pieces)), "<u4") for pieces in cut]
+        return [np.frombuffer(b"".join(map(self.cache.__getitem__, found)), "<u4") for found in cut]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
