@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import pretokens, simple8b
 from .common import slices, texts
-from .token_counts import frequent, library, parts, piece_ids, specials
+from .token_counts import library, parts, piece_ids, specials, whole_pieces
 
 SEGMENT_IDS = 1 << 18
 _HEAD = struct.Struct("<4sIIQIQ")
@@ -54,31 +54,36 @@ def from_segment(image: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Ids by the tokenizers library, pre-token by pre-token behind a cache."""
+    """Ids by the tokenizers library, pre-token by pre-token behind a cache of units."""
 
-    def __init__(self, path: str, source: str, pieces: tuple[str, bytes]):
+    def __init__(self, path: str, source: str, pieces: tuple[str, ...]):
         self.tok, self.special, self.source = library(path), specials(path), source
-        make = lambda found: [np.asarray(ids, "<u4").tobytes() for ids in piece_ids(path, found)]
-        known = [p for p, n in zip(pieces[0].split("\0"), pieces[1], strict=True) if n == 1] if pieces[1] else []
-        self.cache = pretokens.Cache(make, dict(zip(known, make(known), strict=True)))
+        self.path = path
+        self.cache = pretokens.Cache(self._ids, dict(zip(pieces, self._ids(pieces), strict=True)))
+
+    def _ids(self, found: list[str]) -> list[bytes]:
+        """Ids of units, pre-token by pre-token."""
+        cut = [pretokens.split(unit, self.source) for unit in found]
+        ids = iter(piece_ids(self.path, [piece for pieces in cut for piece in pieces]))
+        return [np.asarray([i for _ in pieces for i in next(ids)], "<u4").tobytes() for pieces in cut]
 
     def encode(self, found: list[str], end: int) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
         last, whole = np.asarray([end], "<u4").tobytes(), lambda t: np.asarray(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        plain = [pretokens.split(t, self.source) if pretokens.settled(t) and parts(t, self.special) == [t] else None for t in found]
+        plain = [pretokens.units(t, self.source) if pretokens.settled(t) and parts(t, self.special) == [t] else None for t in found]
         self.cache.learn(p for p in plain if p is not None)
         return [(whole(t) if p is None else b"".join(map(self.cache.__getitem__, p))) + last for t, p in zip(found, plain, strict=True)]
 
 
 @cache
-def encoder(path: str, source: str, pieces: tuple[str, bytes]) -> Encoder:
+def encoder(path: str, source: str, pieces: tuple[str, ...]) -> Encoder:
     """One for each worker, over all its tasks."""
     return Encoder(path, source, pieces)
 
 
 def write(df: DataFrame, folder: str, path: str, source: str, end: int, text: str = "text", key: str = "doc_id", segment_ids: int = SEGMENT_IDS) -> None:
     """Writes the token files of ``df`` into ``folder`` (which must be new)."""
-    shared = df.sparkSession.sparkContext.broadcast(frequent(path, source))
+    shared = df.sparkSession.sparkContext.broadcast(tuple(whole_pieces(path, source)))
     kind = df.schema[key].dataType.simpleString()
     schema = f"range int, number int, base long, n_ids long, keys array<{kind}>, segment binary"
 
