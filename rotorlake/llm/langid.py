@@ -6,13 +6,17 @@ labelled sample. A word's probability is the forward sum over every way to cut i
 pieces; pieces never cross words, so that a text's log probability is the sum over its
 words, which workers cache. The posterior of the best language is the score.
 
-Words are runs of letters in lower case, with the vocabulary's word mark in front. A
-character that no piece covers counts as one piece of a fixed small probability, the same
-in all languages. A text that is null, empty or without any letter gets ``und`` with
-score 0. Among equal languages the alphabetically first wins.
-
-Training sample: at most ``per_language`` labelled rows of each language, those with the
-smallest hashes of their keys; a language with fewer rows gives all of them.
+Words are runs of letters in lower case, with the vocabulary's word mark in front. Any one
+character also counts as a piece of a fixed small probability, the same in all languages,
+so that words no piece covers have a probability, too. A text that is null, empty or without any letter gets ``und`` with
+score 0. Among equal languages the alphabetically first wins. An empty table gives no rows;
+without labelled rows, every text gets ``und``. Other columns stay as they are.
+
+Training sample: about ``per_language`` labelled rows of each language, those with the
+smallest hashes of their keys; a language with fewer rows gives all of them. A task takes
+a text once, however often it occurs, so that copies of one row don't fill the sample. Of
+each language's words the TRAINING_WORDS most frequent are fitted, longer ones in parts of
+PART letters, so that no probability leaves floating point.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +39,8 @@ from .common import slices, texts
 PER_LANGUAGE = 300
 #: Words of one language that training takes, the most frequent of its sample.
 TRAINING_WORDS = 20_000
-ROUNDS, LONGEST, MARK, UNKNOWN, PRIOR = 2, 16, "▁", 1e-8, 1e-7
-CACHE_WORDS, SHORT = 300_000, 30
+ROUNDS, MARK, UNKNOWN, PRIOR, PART = 2, "▁", 1e-8, 1e-7, 24
+CACHE_WORDS, SHORT = 200_000, 30
 
 _RUN, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 
@@ -56,20 +61,25 @@ class Model:
     languages: list[str]
     table: dict[str, np.ndarray]
 
+    @cached_property
+    def widest(self) -> int:
+        """Letters of the longest piece."""
+        return max(map(len, self.table), default=1)
+
     def forward(self, word: str) -> np.ndarray:
         """Log probability of a word in each language, over all segmentations."""
-        s, table, n = MARK + word, self.table, len(self.languages)
+        s, table, n, widest = MARK + word, self.table, len(self.languages), self.widest
         sums = [np.ones(n)]
         log = np.zeros(n)
         for end in range(1, len(s) + 1):
             total = sums[-1] * UNKNOWN
-            for width in range(1, min(LONGEST, end) + 1):
+            for width in range(1, min(widest, end) + 1):
                 row = table.get(s[end - width : end])
                 if row is not None:
                     total = total + sums[-width] * row
             sums.append(total)
-            if len(sums) > LONGEST:
-                sums = sums[-LONGEST:]
+            if len(sums) > widest:
+                sums = sums[-widest:]
                 if total.max() < 1e-100:  # keep long words within floating point
                     scale = total.max()
                     sums = [x / scale for x in sums]
@@ -78,22 +88,22 @@ class Model:
 
 
 def pieces(path: str) -> list[str]:
-    """The normal pieces of the vocabulary, no longer than LONGEST."""
+    """The normal pieces of the vocabulary."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [p for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and len(p := sp.id_to_piece(i)) <= LONGEST]
+    return [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
 
 
 def fit(counts: dict[str, Counter], vocabulary: list[str], rounds: int = ROUNDS) -> Model:
     """Piece probabilities of each language from its word counts."""
-    languages, known = sorted(counts), set(vocabulary)
+    languages, known, widest = sorted(counts), set(vocabulary), max(map(len, vocabulary), default=1)
     found: dict[str, dict[str, float]] = {}
     for language in languages:
         frequent = [(MARK + w, c) for w, c in counts[language].most_common(TRAINING_WORDS)]
         edges = []
         for s, c in frequent:
-            own = [(i, j, s[i:j]) for j in range(1, len(s) + 1) for i in range(max(0, j - LONGEST), j) if s[i:j] in known or j - i == 1]
+            own = [(i, j, s[i:j]) for j in range(1, len(s) + 1) for i in range(max(0, j - widest), j) if s[i:j] in known or j - i == 1]
             edges.append((len(s), c, own))
         p: dict[str, float] = dict.fromkeys((e[2] for _, _, own in edges for e in own), 1.0)
         for _ in range(rounds):
@@ -104,8 +114,6 @@ def fit(counts: dict[str, Counter], vocabulary: list[str], rounds: int = ROUNDS)
                     alpha[j] += alpha[i] * p[piece]
                 for i, j, piece in reversed(own):
                     beta[i] += beta[j] * p[piece]
-                if not 1e-250 < alpha[n] < 1e250:
-                    continue
                 for i, j, piece in own:
                     expected[piece] += c * alpha[i] * p[piece] * beta[j] / alpha[n]
             total = sum(expected.values()) or 1.0
@@ -120,8 +128,8 @@ def fit(counts: dict[str, Counter], vocabulary: list[str], rounds: int = ROUNDS)
 def train(df: DataFrame, path: str, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """Learns from rows of ``df`` that have a text and a label.
 
-    The sample is bounded in rows per language: the count of labels says below which hash a
-    row is taken, so that no group is sorted or collected.
+    The count of labels says below which hash a row is taken, so that no group is sorted or
+    collected; what reaches the driver are counts of the sample's words.
     """
     spread = F.xxhash64(F.col(key).cast("string"))
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), spread.alias("h"))
@@ -134,9 +142,12 @@ def train(df: DataFrame, path: str, text: str = "text", lang: str = "lang", key:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, Counter] = {}
+        seen: set[int] = set()
         for batch in slices(batches, "text"):
             for language, t in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True):
-                own.setdefault(language, Counter()).update(w for run in words(t) for w in letters(run) if len(w) <= 60)
+                if hash(t) not in seen:
+                    seen.add(hash(t))
+                    own.setdefault(language, Counter()).update(w[at : at + PART] for run in words(t) for w in letters(run) for at in range(0, len(w), PART))
         flat = [(x, w, c) for x, found in own.items() for w, c in found.items()]
         if flat:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat, strict=True)], names=["lang", "word", "n"])
@@ -155,7 +166,7 @@ class Scorer:
         self.model, self.index, self.rows, self.filled = model, {}, np.zeros((CACHE_WORDS, len(model.languages))), 0
         self.number = {piece: i for i, piece in enumerate(model.table)}
         self.table = np.array(list(model.table.values())) if model.table else np.zeros((0, len(model.languages)))
-        self.widest = max(map(len, model.table), default=1)
+        self.widest = model.widest
 
     def forward(self, found: list[str]) -> np.ndarray:
         """Log probabilities of words of at most SHORT letters, all ends of one place at a time."""
