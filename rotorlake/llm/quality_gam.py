@@ -6,9 +6,11 @@ lookup table per feature. Then the pairs whose joint trees lower the loss most g
 two-dimensional table each, by the same cyclic boosting on what the main effects leave over.
 A score is the logistic of a few looked-up numbers, added with numpy.
 
-Training takes at most ``most`` labelled rows, those with the smallest hashes of their keys.
-Features come from the text alone. Null and empty texts are scored as texts without words.
-Without labelled rows, every score is 0.5; a document with several labels counts with each.
+Training takes at most ``most`` labelled keys, those with the smallest hashes. Of rows with
+equal keys it takes one, that with the smallest features. Features come from the text alone.
+Null and empty texts are scored as texts without words. Without labelled rows, every score
+is 0.5; a document with several labels counts with each; null keys have no label. Rows are
+scored one by one: ties and repeated rows don't matter, other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -157,24 +159,22 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", most: int = MOST_LABELLED) -> Model:
-    """Learns from the rows of ``df`` that ``labels`` has, at most ``most`` of them.
+    """Learns from the rows of ``df`` that ``labels`` has, of at most ``most`` labelled keys.
 
-    The hash below which a key is taken follows from the count of labels, so that the sample
-    is chosen before any text is read; its features are what the driver gets. The keys of the
-    sample are broadcast: about ``most`` of them, whatever the number of labels.
+    The keys are chosen before any text is read and broadcast; the driver gets the features of
+    one row for each.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).distinct()
-    n = known.count()
-    if n > most:
-        known = known.where(spread_of("key") <= F.lit(int(most / n * 2.0**64 - 2.0**63)))
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), spread_of(key).alias("h")).join(F.broadcast(known), "key").select("h", "label", "text")
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), spread_of(key).alias("h")).distinct()
+    known = known.orderBy("h", "key", "label").limit(most)
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(known), "key").select("h", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x = features(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, x.T)], names=["h", "label", *FEATURES])
 
-    found = rows.mapInArrow(run, "h long, label int" + "".join(f", {f} double" for f in FEATURES)).toPandas().sort_values(["h", "label", *FEATURES])
+    each = rows.mapInArrow(run, "h long, label int" + "".join(f", {f} double" for f in FEATURES)).groupBy("h", "label").agg(F.min(F.struct(*FEATURES)).alias("x"))
+    found = each.select("h", "label", "x.*").toPandas().sort_values(["h", "label"])
     return fit(found[list(FEATURES)].to_numpy(float), found["label"].to_numpy(float))
 
 
