@@ -6,7 +6,10 @@ longer host, then a block rule. A URL that no rule fits gets ``default`` as its
 null as its rule. Null, empty and relative URLs have an empty host and path, which no rule fits.
 
 The trie is broadcast while it is at most ``TRIE_BYTES`` when serialised. Larger rule sets
-are joined on (host suffix, path prefix) instead, which needs no bound.
+are joined on (host suffix, full path segments) instead, which needs no bound.
+
+Rows are judged one by one: ties and repeated rows don't matter, other columns aren't read,
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -98,16 +101,30 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", k
 
 
 def _joined(df: DataFrame, rules: list[tuple[str, str]], url: str, key: str, default: str) -> DataFrame:
-    """The same by equi-joins on host suffix, for rule sets beyond the broadcast bound."""
+    """The same by equi-joins, for rule sets beyond the broadcast bound.
+
+    A rule's path is its full segments, up to the last '/', and a tail that what follows in
+    the URL begins with. A URL has a row for each of its host's suffixes and each number of
+    full segments, as far as any rule goes; rules that share both differ in tails alone.
+    """
     spark = df.sparkSession
-    known = spark.createDataFrame([(v, r, r.partition("/")[0].translate(_FOLD), "".join(r.partition("/")[1:])) for v, r in rules], "verdict string, rule string, suffix string, prefix string")
+    cut = [(v, r, *r.partition("/")) for v, r in rules]
+    rows = [(v, r, host.translate(_FOLD), *(slash + path).rpartition("/")[::2], bool(slash)) for v, r, host, slash, path in cut]
+    depth = max((full.count("/") + 1 for *_, full, _, slash in rows if slash), default=0)
+    known = spark.createDataFrame([(v, r, host, full if slash else None, tail if slash else "") for v, r, host, full, tail, slash in rows], "verdict string, rule string, suffix string, full string, tail string")
     url_ = F.coalesce(F.col(url).cast("string"), F.lit(""))
     parts = df.select(F.col(key).alias("key"), F.translate(F.regexp_extract(url_, _HOST, 1), _UPPER, _LOWER).alias("host"), F.regexp_extract(url_, _PATH, 1).alias("path"))
-    distinct = parts.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
+    distinct = parts.select("host", "path").distinct().where("host <> ''")
+    labels, segments = F.split("host", r"\."), F.split("path", "/")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # null stands for rules without a path, which fit any; i slashes stand before the tail otherwise
+    places = F.concat(F.array(F.lit(0)), F.when(F.startswith("path", F.lit("/")), F.sequence(F.lit(1), F.least(F.lit(max(1, depth)), F.size(segments) - 1))).otherwise(F.expr("cast(array() as array<int>)")))
+    full = F.when(F.col("i") > 0, F.array_join(F.slice(segments, F.lit(1), F.col("i")), "/"))
+    near = distinct.withColumn("suffix", F.explode(suffixes)).withColumn("i", F.explode(places)).withColumn("full", full)
+    tail = F.when(F.col("i") > 0, F.substring(F.col("path"), F.length("n.full") + 2, F.length("path"))).otherwise(F.col("path"))
+    hit = near.alias("n").join(known.alias("k"), F.expr("n.suffix = k.suffix and n.full <=> k.full")).select("n.host", "n.path", tail.alias("rest"), "k.verdict", "k.rule", "k.suffix", "k.tail")
     fits = (
-        distinct.withColumn("suffix", F.explode(suffixes)).join(known, "suffix").where((F.col("host") != "") & F.col("path").startswith(F.col("prefix")))
+        hit.where(F.startswith("rest", F.col("tail")))
         .groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.length("suffix").alias("h"), "verdict", "rule")).alias("best"))
     )
     return parts.join(fits, ["host", "path"], "left").select(
