@@ -99,7 +99,7 @@ _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 _WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _LEAK_SQL = f"""
 with d as (select doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, {_WORD}) as ws from documents),
-b as (select item_id::varchar as item, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, {_WORD}) as ws from benchmark),
+b as (select coalesce(item_id::varchar, '') as item, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, {_WORD}) as ws from benchmark),
 phrases as (select item, least(len(ws), 10) as n, unnest(range(0, len(ws) - least(len(ws), 10) + 1)) as i, ws from b where len(ws) > 0),
 phrase as (select distinct item, n, array_to_string(ws[i + 1 : i + n], ' ') as p from phrases),
 sizes as (select distinct n from phrase),
@@ -123,23 +123,41 @@ select d.doc_id, coalesce(size.n, 0) as n_shingles, component_id from d join low
 
 
 def _rules_sql() -> str:
+    """Word by word; an n-gram is a hash of its halves, so that no list of words is carried."""
     shares = quality_rules.NGRAM_SHARES
-    sizes = ", ".join(map(str, [3, *shares]))
-    covers = ", ".join(f"coalesce(max(case when n = {n} then b end), 0) / greatest(any_value(bytes), 1)::double as coverage_{n}" for n in shares)
+    sizes = sorted({3, *shares})
+    need: set[int] = set()
+
+    def parts(n: int) -> None:
+        if n > 1 and n not in need:
+            need.add(n)
+            half = 1 << (n - 1).bit_length() - 1
+            parts(half)
+            parts(n - half)
+
+    for n in sizes:
+        parts(n)
+    grams, last = [], "word"
+    for n in sorted(need):
+        half = 1 << (n - 1).bit_length() - 1
+        grams.append(f"g{n}s as (select *, hash(g{half}, lead(g{n - half}, {half}) over (partition by doc_id order by pos)) as g{n} from {last})")
+        last = f"g{n}s"
+    twice = ", ".join(f"case when pos + {n} <= n_all then (count(*) over (partition by doc_id, pos + {n} <= n_all, g{n}) > 1)::int else 0 end as r{n}" for n in sizes)
+    inside = ", ".join(f"max(r{n}) over (partition by doc_id order by pos rows between {n - 1} preceding and current row) as i{n}" for n in sizes)
+    covers = ", ".join(f"coalesce(sum(b * i{n}), 0) / greatest(coalesce(sum(b), 0), 1)::double as coverage_{n}" for n in shares)
     limits = " and ".join(f"coverage_{n} <= {most!r}" for n, most in shares.items())
     return f"""
 with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
-word as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as pos from d),
-base as (select doc_id, count(w) as n_words, coalesce(sum(length(w)), 0)::bigint as word_chars, coalesce(sum(strlen(w)), 0)::bigint as bytes from d left join word using (doc_id) group by doc_id),
-places as (select doc_id, n, unnest(range(0, len(ws) - n + 1)) as i, ws from d, (select unnest([{sizes}]) as n) where len(ws) >= n),
-gram as (select doc_id, n, i, count(*) over (partition by doc_id, n, array_to_string(ws[i + 1 : i + n], ' ')) as c from places),
-inside as (select distinct doc_id, n, unnest(range(i, i + n)) as pos from gram where c > 1),
-sums as (select doc_id, n, count(*) as words, sum(strlen(w)) as b from inside join word using (doc_id, pos) group by all),
-line as (select doc_id, i, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') as lw, row_number() over (partition by doc_id, l order by i) as r from (select doc_id, unnest(string_split(text, chr(10))) as l, unnest(range(len(string_split(text, chr(10))))) as i from d)),
-lines as (select doc_id, count(*) as n_dup_lines, sum(strlen(array_to_string(lw, ''))) as dup_bytes from line where len(lw) > 0 and r > 1 group by doc_id),
-shares as (select doc_id, {covers}, coalesce(max(case when n = 3 then words end), 0) as n_repeat_words from base left join sums using (doc_id) group by doc_id),
+word as (select doc_id, n_all, pos, length(w) as c, strlen(w) as b, hash(w) as g1 from (select doc_id, len(ws) as n_all, unnest(ws) as w, unnest(range(len(ws))) as pos from d)),
+{", ".join(grams)},
+twice as (select doc_id, pos, c, b, {twice} from {last}),
+inside as (select doc_id, c, b, {inside} from twice),
+base as (select doc_id, count(c) as n_words, coalesce(sum(c), 0)::bigint as word_chars, coalesce(sum(b), 0)::bigint as bytes, coalesce(sum(i3), 0)::bigint as n_repeat_words, {covers} from d left join inside using (doc_id) group by doc_id),
+cut as (select doc_id, unnest(string_split(text, chr(10))) as l, unnest(range(len(string_split(text, chr(10))))) as i from d),
+line as (select doc_id, strlen(regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g')) as b, row_number() over (partition by doc_id, l order by i) as r from cut),
+lines as (select doc_id, count(*) as n_dup_lines, sum(b) as dup_bytes from line where b > 0 and r > 1 group by doc_id),
 full_ as (select d.doc_id, n_words, word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
- coalesce(dup_bytes, 0) / greatest(bytes, 1)::double as line_coverage, shares.* exclude (doc_id, n_repeat_words) from d join base using (doc_id) join shares using (doc_id) left join lines using (doc_id))
+ coalesce(dup_bytes, 0) / greatest(bytes, 1)::double as line_coverage, {", ".join(f"coverage_{n}" for n in shares)} from d join base using (doc_id) left join lines using (doc_id))
 select *, not base_failed and line_coverage <= {quality_rules.LINE_SHARE!r} and {limits} as kept from full_"""
 
 

@@ -21,17 +21,18 @@ def test_hashes_of_ranges_do_not_depend_on_what_is_around():
 def naive_leaks(docs, items, width):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     cut = lambda t: word.findall((t or "").translate(LOW))
-    out = []
+    out, phrases = [], defaultdict(set)
+    for item, t in items:
+        p = cut(t)
+        for i in range(max(1, len(p) - width + 1) if p else 0):
+            phrases[tuple(p[i : i + width])].add(str(item))
     for key, text in docs:
         w, hit, found = cut(text), set(), set()
-        for item, t in items:
-            p = cut(t)
-            for i in range(max(1, len(p) - width + 1) if p else 0):
-                q = p[i : i + width]
-                for at in range(len(w) - len(q) + 1):
-                    if w[at : at + len(q)] == q:
-                        hit.update(range(at, at + len(q)))
-                        found.add(str(item))
+        for n in {len(q) for q in phrases}:
+            for at in range(len(w) - n + 1):
+                if (q := tuple(w[at : at + n])) in phrases:
+                    hit.update(range(at, at + n))
+                    found |= phrases[q]
         out.append((key, len(w), len(hit), len(found), sorted(found)))
     return sorted(out, key=repr)
 
@@ -45,6 +46,8 @@ def test_leaks_by_brute_force(spark, odd, none, odd_texts, chars):
     leaks = decontam.find_leaks(df, spark.createDataFrame(items, "item_id long, text string"), item_chars=chars)
     got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["item_ids"]) for r in leaks.collect()), key=repr)
     assert got == naive_leaks(docs, items, 10)
+    unnamed = decontam.find_leaks(df, spark.createDataFrame([(None, "a b"), (None, "c d")], "item_id long, text string"))
+    assert {tuple(r["item_ids"]) for r in unnamed.collect()} == {(), ("",)}
     nobody = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find_leaks(none, nobody).count() == 0
     assert all(r["n_hit"] == 0 for r in decontam.find_leaks(df, nobody).collect())
@@ -178,14 +181,33 @@ def naive_rules(text):
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(inside), len(w) < 50 or 100 * len(inside) > 50 * len(w)
 
 
-def test_quality_rules_by_brute_force(odd, none):
-    got = quality_rules.judge(odd).collect()
-    text = {r["doc_id"]: r["text"] for r in odd.collect()}
+def naive_coverage(text):
+    """Shares of word bytes in lines that repeat, and in n-grams that do."""
+    text = text or ""
+    w = [x.encode() for x in SPACED.findall(text)]
+    size, seen, lines = max(1, sum(map(len, w))), set(), 0
+    for line in text.split("\n"):
+        if SPACED.search(line):
+            lines += sum(len(x.encode()) for x in SPACED.findall(line)) if line in seen else 0
+            seen.add(line)
+    out = [lines / size]
+    for n in quality_rules.NGRAM_SHARES:
+        grams = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        out.append(sum(len(w[j]) for j in {j for i in range(len(w) - n + 1) if grams[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}) / size)
+    return out
+
+
+def test_quality_rules_by_brute_force(spark, odd, none):
+    mixed = [" ".join([*(f"w{i}" for i in range(60)), *(f"v{i}" for i in range(k)), "z", *(f"v{i}" for i in range(k))]) for k in (2, 4, 8, 14, 25)]
+    df = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(500 + i, t) for i, t in enumerate(mixed)], "doc_id long, text string"))
+    got = quality_rules.judge(df).collect()
+    text = {r["doc_id"]: r["text"] for r in df.collect()}
     for r in got:
-        assert tuple(r)[1:7] == naive_rules(text[r["doc_id"]])
-        assert not (r["kept"] and r["base_failed"])
+        base, shares = naive_rules(text[r["doc_id"]]), naive_coverage(text[r["doc_id"]])
+        assert tuple(r)[1:7] == base and np.allclose(tuple(r)[8:], shares)
+        assert r["kept"] == (not base[-1] and all(x <= most for x, most in zip(shares, [quality_rules.LINE_SHARE, *quality_rules.NGRAM_SHARES.values()], strict=True)))
     kept = {r["doc_id"]: r["kept"] for r in got}
-    assert len(got) == odd.count() and kept[9] and not kept[3]
+    assert len(got) == df.count() and kept[9] and not kept[3] and len({kept[500 + i] for i in range(5)}) == 2
     assert quality_rules.judge(none).count() == 0
 
 

@@ -1,3 +1,4 @@
+import itertools
 import math
 import re
 
@@ -41,29 +42,47 @@ def test_trie_prefers_longer_hosts_and_blocks_and_takes_partial_segments():
     assert trie.match("com", "/q") is None
 
 
-def cosine(text, template):
-    idf, other, vectors = license_scan.weights(license_scan.TEMPLATES)
+def cosine(text, vector, idf, other):
     counts = {w: license_scan.words(text).count(w) * idf.get(w, other) for w in license_scan.words(text)}
     norm = math.sqrt(sum(v * v for v in counts.values()))
-    return sum(v * vectors[template].get(w, 0.0) for w, v in counts.items()) / norm if norm else 0.0
+    return sum(v * vector.get(w, 0.0) for w, v in counts.items()) / norm if norm else 0.0
+
+
+MIT = """/*
+ * The MIT License (MIT)
+ *
+ * Copyright (c) 2020 Foo Inc.
+ *
+ * Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+ * documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+ * rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+ * persons to whom the Software is furnished to do so, subject to the following conditions:
+ */
+int main() {}"""
 
 
 def test_license_scan_against_all_cosines(spark, odd, none):
-    texts = ["Licensed under the Apache License, Version 2.0.", "under the apache license version 2.0 and more words that are not in it at all", "the the the", None, "x\nReleased under the MIT License.\ny", "licensed under cc by 4.0", "All rights reserved, and so on"]
+    texts = [
+        "Licensed under the Apache License, Version 2.0.", "under the apache license version 2.0 and more words that are not in it at all", "the the the", None, "x\nReleased under the MIT License.\ny", "licensed under cc by 4.0", "All rights reserved, and so on",
+        MIT, "# SPDX-License-Identifier: MIT\nimport os", "Copyright (c) 2020 Foo Inc. All rights reserved.", "// This file is released under the MIT License, see LICENSE for details.", "use in the file of this code that can be found",
+    ]
     rows = [(i, f"a/{i % 2}/f{i}", t) for i, t in enumerate(texts)] + [(90, "a/0/c/d/g", "plain"), (91, None, "All rights reserved."), (92, "top", "plain")]
     got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert len(got) == len(rows)
+    idf, other, vectors = license_scan.weights(license_scan.TEMPLATES)
     for i, path, text in rows:
-        segments = [text or "", *(text or "").split("\n")]
-        best = max(((round(cosine(s, t), 6), t) for s in segments for t in license_scan.TEMPLATES), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+        paragraphs = ["\n".join(ls) for word, ls in ((w, list(g)) for w, g in itertools.groupby((text or "").split("\n"), lambda x: bool(re.search("[A-Za-z0-9]", x)))) if word]
+        segments = [s for s in (text or "", *(text or "").split("\n"), *paragraphs) if set(license_scan.words(s)) & set(license_scan.KEYS)]
+        best = max(((round(cosine(s, v, idf, other), 6), name) for s in segments for name, v in vectors), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=(0, ""))
         assert got[i]["own_license"] == (best[1] if path and best[0] >= license_scan.LEAST else None), (i, best)
+    assert [got[i]["own_license"] for i in (7, 8, 9, 10, 11)] == ["MIT", "MIT", "Proprietary", "MIT", None]
     assert got[90]["license"] == "Apache-2.0" and got[90]["inherited_from"] == "a/0" and got[92]["license"] is None
     scanned = license_scan.scan(odd.withColumnRenamed("source", "path"))
     assert scanned.count() == odd.count()
     assert license_scan.scan(none.withColumnRenamed("source", "path")).count() == 0
 
 
-def test_key_words_bound_the_cosine():
-    _, _, vectors = license_scan.weights(license_scan.TEMPLATES)
-    keys = set(license_scan.key_words(vectors, license_scan.LEAST))
-    assert all(math.sqrt(sum(x * x for w, x in v.items() if w not in keys)) < license_scan.LEAST for v in vectors.values())
+def test_every_wording_has_a_key_word():
+    assert all(set(license_scan.words(t)) & set(license_scan.KEYS) for ts in license_scan.TEMPLATES.values() for t in ts)
+    pattern = re.compile(license_scan.any_of(license_scan.KEYS))
+    assert all(pattern.fullmatch(w) for w in license_scan.KEYS) and not pattern.fullmatch("li") and not pattern.fullmatch("mits")

@@ -1,33 +1,44 @@
 import hashlib
 
 import corpus_pipeline
-from rotorlake.llm import decontam, langid, ngram_join, quality_gam, queries
+import regex
 
+from rotorlake.llm import quality_gam
 
-def test_each_stage_by_a_separate_computation(spark, sf_dir):
+from .test_documents import naive_groups, naive_leaks
+from .test_models import naive_features
+from .test_tokens import by_tiktoken
+
+
+def naive_margin(model, x):
+    """A score's logit by looking up every bin."""
+    bins = lambda edges, v: sum(e <= v for e in edges)
+    out = model.base + sum(float(t[bins(e, v)]) for e, t, v in zip(model.edges, model.tables, x, strict=True))
+    return out + sum(float(t[bins(model.pair_edges[i], x[i]), bins(model.pair_edges[j], x[j])]) for (i, j), t in model.pairs.items())
+
+
+def test_each_stage_by_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns, kept = docs.columns, docs
-    quality, language, near, clean, tokens = (f for _, f in corpus_pipeline.STAGES)
-
-    after = quality(spark, kept, sf_dir).persist()
-    model = quality_gam.train(kept, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    assert after.columns == columns and {r[0] for r in after.select("doc_id").collect()} == {r["doc_id"] for r in quality_gam.classify(kept, model).collect() if r["score"] >= 0.5}
-    kept, after = after, language(spark, after, sf_dir).persist()
-    known = langid.identify(kept, langid.train(kept, queries.PIECES)).where("lang_pred <> 'und'")
-    assert after.columns == columns and {r[0] for r in after.select("doc_id").collect()} == {r[0] for r in known.select("doc_id").collect()}
-    kept, after = after, near(spark, after, sf_dir).persist()
-    assert sorted(r[0] for r in after.select("doc_id").collect()) == sorted({r["component_id"] for r in ngram_join.near_duplicates(kept).collect()})
-    kept, after = after, clean(spark, after, sf_dir).persist()
-    leaks = {r["doc_id"] for r in decontam.find_leaks(kept, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect() if r["n_hit"]}
-    assert after.columns == columns and {r[0] for r in after.select("doc_id").collect()} == {r[0] for r in kept.select("doc_id").collect()} - leaks
-    text = {r["doc_id"]: r["text"] for r in after.collect()}
-    out = tokens(spark, after, sf_dir).collect()
-    assert {r["doc_id"] for r in out} == set(text)
-    assert all(r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest() and r["n_tokens"] == len(r["token_ids"]) for r in out)
-
-
-def test_run_and_empty_or_odd_tables(spark, sf_dir, odd, none):
-    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    columns, kept = docs.columns, {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = quality_gam.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    wanted = [
+        lambda rows: {k for k, t in rows if naive_margin(model, naive_features(t)) >= 0},
+        lambda rows: {k for k, t in rows if regex.search(r"\p{L}", t or "")},
+        lambda rows: {low for _, _, low in naive_groups(rows)},
+        lambda rows: {k for k, _, hit, _, _ in naive_leaks(rows, items, 10) if not hit},
+    ]
+    for (name, stage), want in zip(corpus_pipeline.STAGES, wanted, strict=False):
+        docs = stage(spark, docs, sf_dir).persist()
+        stay = want(sorted(kept.items()))
+        assert docs.columns == columns and sorted(r[0] for r in docs.select("doc_id").collect()) == sorted(stay), name
+        kept = {k: kept[k] for k in stay}
+    out = corpus_pipeline.STAGES[4][1](spark, docs, sf_dir).collect()
+    assert {r["doc_id"]: r["token_ids"] for r in out} == {k: by_tiktoken(t) for k, t in kept.items()}
+    assert all(r["decoded_sha256"] == hashlib.sha256(kept[r["doc_id"]].encode()).hexdigest() and r["n_tokens"] == len(r["token_ids"]) for r in out)
+
+
+def test_empty_and_odd_tables(spark, sf_dir, odd, none):
     for docs in (none.select("doc_id", "text", "lang", "source", "n_chars", "score"), odd):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf_dir).persist()
