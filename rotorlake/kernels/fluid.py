@@ -28,13 +28,14 @@ def around(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ring(n: int, r: np.ndarray, z: np.ndarray, rs: np.ndarray, zs: np.ndarray, nr: np.ndarray, nz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Potential at (r, z) of a unit ring source of n waves at (rs, zs), and its slope along the source's normal."""
+    """Potential at (r, z) of a unit ring source of n waves at (rs, zs), over rs, and its slope
+    along the source's normal. The slope is that of the potential with its factor rs, over rs."""
     t, w = around(n)
     r, z, rs, zs, nr, nz = (np.asarray(v, float)[..., None] for v in np.broadcast_arrays(r, z, rs, zs, nr, nz))
     dr, dz = rs - r * np.cos(t), zs - z
     d2 = np.maximum(r * r + rs * rs - 2 * r * rs * np.cos(t) + dz * dz, 1e-30)
     wave = w * np.cos(n * t) / (4 * np.pi)
-    slope = -(dr * nr + dz * nz) / d2**1.5 * wave
+    slope = (nr / (np.maximum(rs, 1e-30) * np.sqrt(d2)) - (dr * nr + dz * nz) / d2**1.5) * wave
     if n == 0:
         far2 = (r + rs) ** 2 + dz * dz
         modulus = np.sqrt(np.clip(4 * r * rs / np.maximum(far2, 1e-30), 0, 1 - 1e-15))[..., 0]
@@ -43,13 +44,12 @@ def ring(n: int, r: np.ndarray, z: np.ndarray, rs: np.ndarray, zs: np.ndarray, n
 
 
 def own(n: int, r: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The self term of a panel; for n waves the singular part is taken as for n = 0."""
-    base = length / (2 * np.pi) * (1 + np.log(8 * np.maximum(r, 1e-12) / length))
+    """The self term of a panel: analytic for n = 0, the potential at its middle otherwise."""
     if n == 0:
-        return base
+        return length / (2 * np.pi) * (1 + np.log(8 * np.maximum(r, 1e-12) / length))
     t, w = around(n)
-    s = np.abs(np.sin(t / 2))
-    return base + length * (w * (np.cos(n * t) - 1) / np.maximum(2 * s, 1e-12)).sum() / (4 * np.pi)
+    away = np.sqrt(2 * (1 - np.cos(t)))
+    return length * (w * np.cos(n * t) / np.maximum(away, 1e-12)).sum() / (4 * np.pi)
 
 
 def added_mass(n: int, panels: dict[str, np.ndarray], rho: float) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics
 from ..kernels import eigen, element
-from . import mesh, sparse
+from . import fluid, mesh, sparse
 
 
 def gathered(elements: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -93,7 +93,8 @@ def solve(terms: DataFrame, fixed: DataFrame, conditions: DataFrame, sectors: in
 
     ``terms`` come from :func:`cyclic_terms`, by ``mat``: K and M; K_omega softens and K_sigma
     (see :func:`prestress`) stiffens with the square of the speed; K_spring adds to K as it is;
-    G is the gyroscopic matrix. ``fixed`` has the column dof. A condition's column
+    G is the gyroscopic matrix; what is called A and a harmonic adds to that harmonic's mass.
+    ``fixed`` has the column dof. A condition's column
     ``modulus``, if there is one, scales K (P2: a modulus at its temperature over that of the
     terms). ``ratios`` (P13) scale the frequencies of their harmonics, where they lie between
     0 and 1. Rows: cond_id, rpm, k, mode_idx, freq_hz, whirl, residual, shape_re, shape_im (by
@@ -107,6 +108,8 @@ def solve(terms: DataFrame, fixed: DataFrame, conditions: DataFrame, sectors: in
     grid = conditions.select("cond_id", "rpm", scale.cast("double").alias("modulus"), F.explode(F.array(*map(F.lit, ks))).alias("k"))
     names = "cond_id int, rpm double, k int, mode_idx int, freq_hz double, whirl int, residual double, dofs array<int>, shape_re array<double>, shape_im array<double>, status string"
 
+    columns = [c.split()[0] for c in names.split(", ")]
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
             for cond, rpm, modulus, k in rows.itertuples(index=False):
@@ -115,8 +118,8 @@ def solve(terms: DataFrame, fixed: DataFrame, conditions: DataFrame, sectors: in
                     if 0 < (ratio := (ratios or {}).get(k, 1.0)) < 1:
                         out["freq_hz"] *= ratio
                 except np.linalg.LinAlgError as error:
-                    out = pd.DataFrame([{"status": str(error)}])
-                yield out.assign(cond_id=cond, rpm=rpm, k=k).reindex(columns=[c.split()[0] for c in names.split(", ")])
+                    out = pd.DataFrame({c: [None] for c in columns}, dtype=object).assign(status=str(error))
+                yield out.assign(cond_id=cond, rpm=rpm, k=k)[columns]
 
     tasks = max(1, spark.sparkContext.defaultParallelism)
     return grid.repartition(tasks, "cond_id", "rpm", "k").mapInPandas(run, names)
@@ -143,7 +146,7 @@ def _solve_one(rpm, k, modulus, terms, sectors, modes, centrifugal, floor_hz, co
         np.add.at(out, (r[own], c[own]), terms["val"][own] * phase[own])
         return out
 
-    stiff, mass = modulus * matrix("K") + matrix("K_spring"), matrix("M")
+    stiff, mass = modulus * matrix("K") + matrix("K_spring"), matrix("M") + matrix(f"A{k}")
     if centrifugal and omega:
         stiff = stiff + omega**2 * (matrix("K_sigma") - matrix("K_omega"))
     twice = 0 < k and 2 * k != sectors
@@ -195,7 +198,7 @@ def static_solve(terms: DataFrame, load: DataFrame, fixed: DataFrame, rpms: Data
     """L4: displacements (rpm, dof, u). The load grows with the square of the speed, so that one
     solve at unit speed serves all speeds."""
     speed = F.pow(physics.angular(F.col("rpm")), 2)
-    return static_unit(terms, load, fixed).crossJoin(F.broadcast(rpms)).select("rpm", "dof", (F.col("u") * speed).alias("u"))
+    return static_unit(terms, load, fixed).crossJoin(rpms).select("rpm", "dof", (F.col("u") * speed).alias("u"))
 
 
 def full_displacement(u: DataFrame, pairs: DataFrame, nodes: DataFrame, sectors: int, axis: str = "z") -> DataFrame:
@@ -236,14 +239,17 @@ def _entries(name: str, m: np.ndarray, ids: np.ndarray) -> Iterator[pd.DataFrame
     yield pd.DataFrame({"mat": name, "row": r[keep], "col": c[keep], "val": m[keep]})
 
 
-def sector_modes(elements: DataFrame, nodes: DataFrame, sets: DataFrame, conditions: DataFrame, sectors: int, modes: int, material: dict[str, float], axis: str = "z", springs: DataFrame | None = None, fixed: DataFrame | None = None, ratios: dict[int, float] | None = None, **options) -> DataFrame:
+def sector_modes(elements: DataFrame, nodes: DataFrame, sets: DataFrame, conditions: DataFrame, sectors: int, modes: int, material: dict[str, float], axis: str = "z", springs: DataFrame | None = None, fixed: DataFrame | None = None, ratios: dict[int, float] | None = None, fluid_density: float = 0.0, **options) -> DataFrame:
     """:func:`solve` from a mesh: matching, assembly, projection, prestress and all.
 
     ``material``: e, nu, rho, and for temperatures slope and reference (P2); a condition's
     column ``temperature`` scales the modulus. ``springs`` (node_id, kx, ky, kz) are grounded;
     ``fixed`` (dof) is the hub's set by default. Without fixed degrees of freedom there is no
-    static solution, and so no stress stiffening.
+    static solution, and so no stress stiffening. A ``fluid_density`` adds the mass of the
+    potential flow about the wetted faces (about z).
     """
+    if fluid_density > 0 and axis != "z":
+        raise ValueError("added mass is known about z; turn the mesh first (physics.aligned)")
     pairs = mesh.match_boundaries(mesh.in_set(nodes, sets, "left_boundary"), mesh.in_set(nodes, sets, "right_boundary"), sectors, axis)
     base = assembled(elements, nodes, material["e"], material["nu"], material["rho"], axis)
     if springs is not None:
@@ -255,6 +261,11 @@ def sector_modes(elements: DataFrame, nodes: DataFrame, sets: DataFrame, conditi
         u = static_unit(terms, cyclic_load(base, pairs, sectors, axis), fixed)
         sigma = prestress(elements, nodes, full_displacement(u, pairs, nodes, sectors, axis), material["e"], material["nu"])
         terms = terms.unionByName(cyclic_terms(sigma, pairs, sectors, axis))
+    if fluid_density > 0:
+        wet = mesh.wetted_faces(mesh.boundary_faces(elements), sets)
+        added = fluid.added_mass_entries(wet, nodes, fluid_density, sectors, [k for k in (options.get("harmonics") or range(sectors // 2 + 1)) if 0 <= k <= sectors // 2])
+        named = added.select(F.concat(F.lit("A"), F.col("k").cast("string")).alias("mat"), "row", "col", "val")
+        terms = terms.unionByName(cyclic_terms(named, pairs, sectors, axis))
     if "temperature" in conditions.columns:
         at = physics.scaled_modulus(F.lit(material["e"]), F.lit(material.get("slope", 0.0)), F.col("temperature"), F.lit(material.get("reference", 293.15)))
         conditions = conditions.withColumn("modulus", F.coalesce(at / material["e"], F.lit(1.0)))

@@ -103,14 +103,14 @@ def crossings(tracks: DataFrame, orders: DataFrame) -> DataFrame:
     w = Window.partitionBy("k", "mode_idx").orderBy("rpm")
     pairs = tracks.withColumn("rpm2", F.lead("rpm").over(w)).withColumn("freq2", F.lead("freq_hz").over(w)).where("rpm2 is not null")
     d1, d2 = F.col("freq_hz") - F.col("eo") * F.col("rpm") / 60, F.col("freq2") - F.col("eo") * F.col("rpm2") / 60
-    out = pairs.crossJoin(F.broadcast(orders)).withColumn("d1", d1).withColumn("d2", d2).where("d1 * d2 < 0")
+    out = pairs.crossJoin(orders).withColumn("d1", d1).withColumn("d2", d2).where("d1 * d2 < 0")
     at = F.col("rpm") + F.abs("d1") / (F.abs("d1") + F.abs("d2")) * (F.col("rpm2") - F.col("rpm"))
     return out.select("k", "mode_idx", "eo", at.alias("cross_rpm"), (F.col("eo") * at / 60).alias("cross_hz"))
 
 
 def order_lines(rpms: DataFrame, orders: DataFrame, top: float) -> DataFrame:
     """Points of engine-order lines up to ``top`` Hz; orders are a short list."""
-    return rpms.crossJoin(F.broadcast(orders)).withColumn("line_hz", F.col("eo") * F.col("rpm") / 60).where(F.col("line_hz") <= top)
+    return rpms.crossJoin(orders).withColumn("line_hz", F.col("eo") * F.col("rpm") / 60).where(F.col("line_hz") <= top)
 
 
 def zigzag(rpms: DataFrame, sectors: int, top: float) -> DataFrame:
@@ -129,7 +129,7 @@ def tyler_sofrin(vanes: list[int], harmonics: int, sectors: int, spark, span: in
 
 def excited(modes: DataFrame, orders: DataFrame, sectors: int) -> DataFrame:
     """Modes by the engine orders that excite them, as an equi-join on the folded order."""
-    return modes.withColumn("nd", physics.folded(F.col("k"), sectors)).join(F.broadcast(orders.withColumn("nd", physics.folded(F.col("eo"), sectors))), "nd").drop("nd")
+    return modes.withColumn("nd", physics.folded(F.col("k"), sectors)).join(orders.withColumn("nd", physics.folded(F.col("eo"), sectors)), "nd").drop("nd")
 
 
 def mac(a: Column, b: Column, floor: float = 1e-300) -> Column:

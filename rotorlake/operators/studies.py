@@ -81,7 +81,7 @@ def passing_lines(rpms: DataFrame, vanes: DataFrame, top: float) -> DataFrame:
     """Lines ``n * vanes * rpm / 60`` for n from 1 while they stay below ``top`` Hz."""
     base = F.col("vanes") * F.col("rpm") / 60
     n = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(top / base).cast("int")))).alias("n")
-    rows = rpms.where("rpm > 0").crossJoin(F.broadcast(vanes)).select("rpm", "vanes", n)
+    rows = rpms.where("rpm > 0").crossJoin(vanes).select("rpm", "vanes", n)
     return rows.withColumn("line_hz", F.col("n") * base).where(F.col("line_hz") <= top)
 
 
@@ -124,7 +124,7 @@ def zigzag_crossings(lines: DataFrame, zigzag: DataFrame, rpm: float) -> DataFra
     rising = steps.select(F.least("nd", "znd2").alias("nd"), F.when(F.col("znd2") > F.col("nd"), F.col("line_hz")).otherwise(F.col("line2")).alias("a"), F.when(F.col("znd2") > F.col("nd"), F.col("line2")).otherwise(F.col("line_hz")).alias("b"))
     d1, d2 = F.col("freq_hz") - F.col("a"), F.col("freq2") - F.col("b")
     share = F.abs("d1") / (F.abs("d1") + F.abs("d2"))
-    out = pairs.join(F.broadcast(rising), "nd").withColumn("d1", d1).withColumn("d2", d2).where("d1 * d2 < 0")
+    out = pairs.join(rising, "nd").withColumn("d1", d1).withColumn("d2", d2).where("d1 * d2 < 0")
     return out.select("direction", "family", "nd", (F.col("nd") + share).alias("cross_nd"), (F.col("freq_hz") + share * (F.col("freq2") - F.col("freq_hz"))).alias("cross_hz"))
 
 

@@ -447,7 +447,7 @@ def free_boundary(spark, d):
 
 @query(
     f"""with {NODES} select round(min(x), 6) as min_x, round(max(x), 6) as max_x, round(min(y), 6) as min_y, round(max(y), 6) as max_y, round(min(z), 6) as min_z, round(max(z), 6) as max_z, round(min(sqrt(x * x + y * y)), 6) as min_r,
- round(max(sqrt(x * x + y * y)), 6) as max_r, round((min(sqrt(x * x + y * y)) + max(sqrt(x * x + y * y))) / 2, 6) as mean_r from nodes"""
+ round(max(sqrt(x * x + y * y)), 6) as max_r, round((min(sqrt(x * x + y * y)) + max(sqrt(x * x + y * y))) / 2, 6) as mean_r, round(median(sqrt(x * x + y * y)), 6) as median_r from nodes"""
 )
 def mesh_extents(spark, d):
     """A16, A25."""

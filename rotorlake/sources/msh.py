@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Nodes of each element type of the format; type 11 is the 10-node tetrahedron.
-NODES_OF_TYPE = {1: 2, 2: 3, 3: 4, 4: 4, 5: 8, 6: 6, 7: 5, 8: 3, 9: 6, 10: 9, 11: 10, 12: 27, 13: 18, 14: 14, 15: 1, 16: 8, 17: 20, 18: 15, 19: 13}
+#: Nodes of each element type that is known; type 11 is the 10-node tetrahedron.
+NODES_OF_TYPE = {1: 2, 2: 3, 3: 4, 4: 4, 5: 8, 8: 3, 9: 6, 11: 10, 15: 1}
 
 
 class MeshError(ValueError):
@@ -92,8 +93,10 @@ class _Reader(DataSourceReader):
         return [InputPartition(p) for p in self.options["path"].split(",")]
 
     def read(self, partition):
-        with open(partition.value) as f:
-            yield from parse(f.read())[self.options.get("part", "nodes")]
+        path = partition.value
+        store, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        with store.open_input_stream(name) as f:
+            yield from parse(f.read().decode())[self.options.get("part", "nodes")]
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -78,6 +78,9 @@ def write_vtu(nodes: DataFrame, elements: DataFrame, shape: DataFrame, path: str
 SI_PREFIX = {"MILLI": 1e-3, "CENTI": 1e-2, "DECI": 1e-1, "KILO": 1e3, "MICRO": 1e-6}
 CONVERSION = {"INCH": 0.0254, "FOOT": 0.3048, "MILE": 1609.344, "YARD": 0.9144}
 IGES_FLAG = {1: 0.0254, 2: 1e-3, 4: 0.3048, 5: 1609.344, 6: 1.0, 7: 1e3, 8: 2.54e-5, 9: 1e-6, 10: 1e-2, 11: 2.54e-8}
+IGES_NAME = {
+    "MM": 1e-3, "MILLIMETER": 1e-3, "MILLIMETRE": 1e-3, "CM": 1e-2, "CENTIMETER": 1e-2, "CENTIMETRE": 1e-2, "M": 1.0, "METER": 1.0, "METRE": 1.0, "IN": 0.0254, "INCH": 0.0254, "FT": 0.3048, "FOOT": 0.3048, "UM": 1e-6,
+}
 
 
 def step_unit(text: str) -> float | None:
@@ -91,7 +94,8 @@ def step_unit(text: str) -> float | None:
 
 
 def iges_unit(text: str) -> float | None:
-    """Metres per unit of an IGES file, from parameter 14 of its global section, or None."""
+    """Metres per unit of an IGES file, from parameter 14 of its global section, or where that
+    is 3, by the name in parameter 15; None for anything else."""
     body = "".join(line[:72] for line in text.splitlines() if line[72:73] == "G")
     found, at = [], 0
     while at < len(body):
@@ -105,6 +109,7 @@ def iges_unit(text: str) -> float | None:
             found.append(body[at:end].strip())
             at = end + 1
     try:
-        return IGES_FLAG.get(int(found[13]))
+        flag = int(found[13])
+        return IGES_NAME.get(found[14].strip().upper()) if flag == 3 else IGES_FLAG.get(flag)
     except (IndexError, ValueError):
         return None

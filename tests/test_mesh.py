@@ -217,8 +217,9 @@ def test_msh_reader(spark, tmp_path):
     assert m["elements"].first()["conn"] == [0, 1, 2, 3, 4, 5, 6, 7, 9, 8]
     assert {r["node_id"] for r in m["sets"].where("set_name = 'hub_constraint'").collect()} == {0, 1, 2, 4, 5, 6}
     spark.dataSource.register(msh.MshSource)
-    assert spark.read.format("msh").option("part", "nodes").load(str(path)).count() == 10
-    for wrong in (MSH.replace("2.2 0", "4.1 0"), MSH.replace("2.2 0", "2.2 1"), MSH.replace("1 11 2", "1 99 2"), MSH.replace("8 9 10\n2 9", "8 9 77\n2 9")):
+    for at in (str(path), f"file://{path}"):
+        assert spark.read.format("msh").option("part", "nodes").load(at).count() == 10
+    for wrong in (MSH.replace("2.2 0", "4.1 0"), MSH.replace("2.2 0", "2.2 1"), MSH.replace("1 11 2", "1 99 2"), MSH.replace("2 9 2 7 1 1 2 3 5 6 7", "2 6 2 7 1 1 2 3 5 6 7"), MSH.replace("8 9 10\n2 9", "8 9 77\n2 9")):
         with pytest.raises(msh.MeshError):
             msh.parse(wrong)
 
@@ -226,6 +227,9 @@ def test_msh_reader(spark, tmp_path):
 def test_units():
     assert results.step_unit("#1=(LENGTH_UNIT()NAMED_UNIT(*)SI_UNIT(.MILLI.,.METRE.));") == 1e-3
     assert results.step_unit("#1=(LENGTH_UNIT()SI_UNIT($,.METRE.));") == 1.0
+    assert results.step_unit("CONVERSION_BASED_UNIT('INCH',#5) SI_UNIT(.CENTI.,.METRE.)") == 1e-2
+    custom = "1H,,1H;,4Hname,5Hf.igs,3Hsys,3Hpre,32,38,6,308,15,4Hprod,1.0,3,4HINCH,1,0.01;"
+    assert results.iges_unit("\n".join(f"{custom[i : i + 72]:<72}G{i:7}" for i in range(0, len(custom), 72))) == 0.0254
     assert results.step_unit("CONVERSION_BASED_UNIT('INCH',#5)") == 0.0254 and results.step_unit("") is None
     body = "1H,,1H;,4Hname,5Hf.igs,3Hsys,3Hpre,32,38,6,308,15,4Hprod,1.0,2,2HMM,1,0.01;"
     assert results.iges_unit("\n".join(f"{body[i : i + 72]:<72}G{i:7}" for i in range(0, len(body), 72))) == 1e-3

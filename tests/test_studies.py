@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rotorlake.functions import physics
-from rotorlake.kernels import element
+from rotorlake.kernels import eigen, element, fluid
 from rotorlake.operators import detect, fem, mesh, studies
 
 N = 24
@@ -151,3 +151,63 @@ def test_memory_model():
         cost = lambda n, v=4 * modes + 1: 800.0 * n ** (4 / 3) + 32.0 * n * min(v, n)
         assert 1 <= n <= free and (n == free or n == 1 or cost(n) <= bytes_ * 1.01 and cost(n + 2) >= bytes_ * 0.99)
     assert physics.rotation_4x4("z", math.pi / 2)[:2] == pytest.approx([0.0, -1.0], abs=1e-15)
+
+
+def test_added_mass_of_a_sphere():
+    t = np.linspace(0, np.pi, 65)
+    r, z = 0.1 * np.sin(t), 0.1 * np.cos(t)
+    dr, dz = np.diff(r), np.diff(z)
+    size = np.hypot(dr, dz)
+    panels = {"r_mid": (r[1:] + r[:-1]) / 2, "z_mid": (z[1:] + z[:-1]) / 2, "nr": -dz / size, "nz": dr / size, "len": size}
+    m = fluid.added_mass(1, panels, 1000.0)
+    moved = panels["r_mid"] / 0.1
+    assert np.allclose(m, m.T) and abs(0.5 * moved @ m @ moved / (2 / 3 * math.pi * 1000.0 * 0.1**3) - 1) < 0.1
+
+
+def test_plate_frequencies_are_those_of_the_tables(spark):
+    """A ring clamped inside (half the radius) and free outside: lambda squared by nodal diameter (Leissa, 1969)."""
+    plate = fem.annulus_sector(spark, inner=0.1, outer=0.2, height=0.004, radial=7, around=2)
+    one = spark.createDataFrame([(0, 0.0)], "cond_id int, rpm double")
+    rows = fem.sector_modes(plate["elements"], plate["nodes"], plate["sets"], one, N, 1, STEEL, harmonics=[0, 1, 2, 3]).collect()
+    stiff = 2e11 * 0.004**3 / (12 * (1 - 0.09))
+    for k, known in enumerate((13.02, 13.29, 14.70, 18.56)):
+        want = known / (2 * math.pi * 0.2**2) * math.sqrt(stiff / (7800.0 * 0.004))
+        assert abs(next(r["freq_hz"] for r in rows if r["k"] == k) / want - 1) < (0.15 if k == 3 else 0.1)
+
+
+def test_lanczos_finds_what_the_dense_solver_finds():
+    r = np.random.default_rng(4)
+    a = r.normal(size=(260, 260)) + 1j * r.normal(size=(260, 260))
+    k, b = a @ a.conj().T, r.normal(size=(260, 260)) * 0.02
+    m = np.eye(260) + b @ b.T
+    values, x, residual = eigen.hermitian(k, m, 8)
+    known = np.linalg.eigvalsh(np.linalg.solve(np.linalg.cholesky(m), np.linalg.solve(np.linalg.cholesky(m), k).conj().T))[:8]
+    assert np.allclose(values, known, rtol=1e-7) and residual.max() < 1e-6
+    assert np.allclose(x.conj().T @ m @ x, np.eye(8), atol=1e-8)
+    twice = np.kron(np.diag(np.arange(1.0, 131.0)), np.eye(2))
+    assert np.allclose(eigen.hermitian(twice, np.eye(260), 6)[0], [1, 1, 2, 2, 3, 3], rtol=1e-8)
+
+
+def test_fluid_adds_mass(spark):
+    sector = fem.annulus_sector(spark, height=0.03, radial=3, around=1)
+    one = spark.createDataFrame([(0, 0.0)], "cond_id int, rpm double")
+    dry, wet = frequencies(spark, sector, one), frequencies(spark, sector, one, fluid_density=1000.0)
+    assert all(0.1 * dry[key] < wet[key] < dry[key] * 1.0001 for key in dry) and wet[0, 2, 0] < 0.98 * dry[0, 2, 0]
+    with pytest.raises(ValueError, match="about z"):
+        frequencies(spark, sector, one, fluid_density=1000.0, axis="x")
+
+
+def test_outline_of_a_sector(spark, sector):
+    from rotorlake.operators import fluid as flow
+
+    wet = mesh.wetted_faces(mesh.boundary_faces(sector["elements"]), sector["sets"])
+    profile = flow.meridional_profile(wet, sector["nodes"])
+    corners = {(0.05, 0.0), (0.05, 0.003), (0.15, 0.0), (0.15, 0.003)}
+    assert corners & {(round(r, 9), round(z, 9)) for r, z in profile.tolist()} and len(profile) >= 4
+    assert flow.added_mass_entries(wet.limit(0), sector["nodes"], 1000.0, N, [0, 1]).count() == 0
+
+
+def test_a_harmonic_that_fails_gives_a_row(spark):
+    terms = spark.createDataFrame([("K", 0, 0, 0, 1.0), ("K", 0, 1, 1, 2.0), ("M", 0, 0, 0, 1.0), ("M", 0, 1, 1, -1.0)], "mat string, part int, row int, col int, val double")
+    rows = fem.solve(terms, spark.createDataFrame([], "dof int"), spark.createDataFrame([(3, 0.0)], "cond_id int, rpm double"), N, 1, harmonics=[0]).collect()
+    assert [(r["cond_id"], r["k"], r["freq_hz"]) for r in rows] == [(3, 0, None)] and "definite" in rows[0]["status"]
