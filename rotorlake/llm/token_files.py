@@ -10,7 +10,9 @@ end id to each and writes segments of about SEGMENT_IDS ids. A segment is self-c
 Segments are binary values of a Parquet table with their keys, their place (range, number in
 it) and the ids before them in the range. Spark's committer publishes the table, so that
 retried and speculative tasks leave nothing behind, on any store. Rows with equal keys are
-ordered by text; null keys come first, null and empty texts hold the end id alone.
+ordered by a hash of the text, by which a frequent key is split over ranges, too; null keys
+come first, null and empty texts hold the end id alone. An empty table gives an empty file
+table; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -108,8 +110,8 @@ def write(df: DataFrame, folder: str, path: str, source: str, end: int, text: st
         if held:
             yield segment()
 
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "text").select("key", "text")
     ordered.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(folder)
 
 
