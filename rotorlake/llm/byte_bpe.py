@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from . import pretokens
-from .common import slices, texts
+from .common import kept, released, slices, texts
 
 
 @cache
@@ -101,10 +101,9 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@cache
 def codec(path: str, source: str) -> Codec:
-    """One for each worker."""
-    return Codec(path, source)
+    """One for each worker, over all its tasks."""
+    return kept("byte_bpe", (path, source), lambda: Codec(path, source))
 
 
 def encode(df: DataFrame, path: str, source: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
@@ -120,7 +119,7 @@ def encode(df: DataFrame, path: str, source: str, text: str = "text", ids: str =
             values = pa.array(np.concatenate([*found, np.zeros(0, "<u4")]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*batch.schema.names[:-1], ids])
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(released(run, "byte_bpe"), schema)
 
 
 def decode(df: DataFrame, path: str, source: str, ids: str = "token_ids", data: str = "decoded") -> DataFrame:
@@ -134,7 +133,7 @@ def decode(df: DataFrame, path: str, source: str, ids: str = "token_ids", data:
             found = [None if x is None else own.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], names=[*batch.schema.names[:-1], data])
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(released(run, "byte_bpe"), schema)
 
 
 def round_trip(df: DataFrame, path: str, source: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -154,5 +153,5 @@ def round_trip(df: DataFrame, path: str, source: str, text: str = "text", key: s
                 decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    out = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(released(run, "byte_bpe"), f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("key", key)

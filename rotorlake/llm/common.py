@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
 
 import pyarrow as pa
@@ -41,6 +42,54 @@ def small_batches(run):
     return set_first
 
 
+#: What this worker keeps from task to task: the operator it belongs to, what it was made from, and the thing.
+_HELD: list[tuple[str, object, object]] = []
+
+
+def kept(operator: str, source: object, make: Callable[[], object]):
+    """The one thing that a worker keeps over its tasks, made anew for another operator or source."""
+    if not _HELD or _HELD[0][0] != operator or not (_HELD[0][1] is source or isinstance(source, tuple) and _HELD[0][1] == source):
+        _HELD.clear()
+        _HELD.append((operator, source, make()))
+    return _HELD[0][2]
+
+
+def released(run, operator: str = ""):
+    """A function of a worker that gives memory back after each task, or group: what other
+    operators keep, before it begins, and what allocators hold, when it ends.
+
+    Workers live on from stage to stage, and their memory counts as the executor's.
+    """
+
+    def forget() -> None:
+        if _HELD and _HELD[0][0] != operator:
+            _HELD.clear()
+
+    @wraps(run)
+    def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        yield from run(batches)
+        trim()
+
+    @wraps(run)
+    def over_group(t: pa.Table) -> pa.Table:
+        forget()
+        out = run(t)
+        trim()
+        return out
+
+    return over_group if run.__annotations__.get("return") in (pa.Table, "pa.Table") else over_batches
+
+
+def trim() -> None:
+    """Gives what was freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def utf8_lengths(column: pa.Array) -> list[int]:
     """Bytes of each text; null counts as 0."""
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()

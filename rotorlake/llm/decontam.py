@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats as ts
-from .common import slices, stored
+from .common import released, slices, stored
 
 #: Characters of test items in one pass: their phrases are broadcast, about 100 times that.
 ITEM_CHARS = 1 << 20
@@ -95,7 +95,7 @@ def build_index(df: DataFrame, gap: int, text: str = "text", key: str = "doc_id"
             yield pa.RecordBatch.from_arrays(columns, names=["block", "keys", "lengths", "terms", "counts", "steps"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return stored(rows.mapInArrow(run, f"block long, keys array<{kind}>, lengths binary, terms binary, counts binary, steps binary"), "postings")
+    return stored(rows.mapInArrow(released(run), f"block long, keys array<{kind}>, lengths binary, terms binary, counts binary, steps binary"), "postings")
 
 
 class Block:
@@ -197,7 +197,7 @@ def find_leaks(df: DataFrame, items: DataFrame, width: int = 10, span: int = 20,
                     name, keys, *parts = (c[row] for c in batch.columns)
                     yield _searched(name.as_py(), keys.values, [p.as_buffer() for p in parts], shared.value, span, every)
 
-        return index.mapInArrow(run, schema)
+        return index.mapInArrow(released(run), schema)
 
     passes: list[DataFrame] = []
     for part in _item_blocks(items.select(item_key, F.col(item_text).cast("string")), item_chars):

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import kept, released, slices, texts
 
 #: Labelled rows of each language that training looks at.
 PER_LANGUAGE = 300
@@ -152,7 +152,7 @@ def train(df: DataFrame, path: str, text: str = "text", lang: str = "lang", key:
         if flat:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat, strict=True)], names=["lang", "word", "n"])
 
-    summed = rows.where(chosen).select("lang", "text").mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    summed = rows.where(chosen).select("lang", "text").mapInArrow(released(counted), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     for r in summed.collect():
         counts[r["lang"]][r["word"]] = r["n"]
     ordered = {x: Counter(dict(sorted(c.items()))) for x, c in counts.items()}
@@ -227,16 +227,6 @@ class Scorer:
         return names, scores
 
 
-_LAST: list[Scorer] = []
-
-
-def scorer(model: Model) -> Scorer:
-    """The worker's scorer of this model, which lasts over its tasks."""
-    if not _LAST or _LAST[0].model is not model:
-        _LAST[:] = [Scorer(model)]
-    return _LAST[0]
-
-
 def identify(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``df`` with the predicted language and its posterior added (replaced, where it has them)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -244,9 +234,9 @@ def identify(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_
     schema = out.drop("__text").schema.add(pred, "string").add(score, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scorer(shared.value)
+        own = kept("langid", shared.value, lambda: Scorer(shared.value))
         for batch in slices(batches, "__text", 4 << 20):
             names, scores = own.score(texts(batch, "__text")) if shared.value.languages else (["und"] * batch.num_rows, [0.0] * batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], pred, score])
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(released(run, "langid"), schema)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats as ts
-from .common import Scratch, removed, slices, stored
+from .common import Scratch, released, removed, slices, stored
 from .components import components
 
 WORDS, PERCENT, K = 5, 75, 24
@@ -262,8 +262,8 @@ def count(docs: DataFrame, buckets: int, width: int, percent: int, scratch: Scra
     """The level of each cell (its size and what is collected for it don't depend on the corpus),
     and ``sig`` of the classes that may link."""
     out = np.zeros(1 << LEVEL_BITS, np.uint8)
-    sent = docs.mapInArrow(_counted(buckets, width), _COUNTED).repartition(buckets, "bucket")
-    found = scratch.stored(sent.groupBy("bucket").applyInArrow(_tallied(CELLS_USED // buckets + 1), "pack long, a binary, b binary"), "tallies")
+    sent = docs.mapInArrow(released(_counted(buckets, width)), _COUNTED).repartition(buckets, "bucket")
+    found = scratch.stored(sent.groupBy("bucket").applyInArrow(released(_tallied(CELLS_USED // buckets + 1)), "pack long, a binary, b binary"), "tallies")
     for r in found.where("pack is null").select("a", "b").toLocalIterator():
         np.maximum.at(out, np.frombuffer(r["a"], "<u4"), np.frombuffer(r["b"], np.uint8))
     able = found.where("pack is not null").groupBy("pack").applyInArrow(_able(percent), "sig long").distinct()
@@ -548,7 +548,7 @@ class Linker:
         placed = pairs.withColumn("place", F.pmod(F.xxhash64("a"), F.lit(places)))
         theirs = placed.select("b", "place").distinct().join(self.sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
         own = placed.join(self.sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a")
-        self.link(own.join(theirs, ["b", "place"]).select("a", "b", "x", "y").mapInArrow(_verified(self.percent), "a long, b long"))
+        self.link(own.join(theirs, ["b", "place"]).select("a", "b", "x", "y").mapInArrow(released(_verified(self.percent)), "a long, b long"))
 
     def comp(self, df: DataFrame, sig: str, name: str) -> DataFrame:
         """``df`` with the component of a set."""
@@ -604,7 +604,7 @@ class Linker:
                             b.append(int(shared.value.sig[i]))
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-            links = scratch.stored(theirs.mapInArrow(run, "a long, b long"), "links")
+            links = scratch.stored(theirs.mapInArrow(released(run), "a long, b long"), "links")
             shared.destroy()
             return links
 
@@ -637,13 +637,16 @@ def link_classes(docs: DataFrame, total: int, percent: int, width: int, scratch:
     crowd = spark.sparkContext.broadcast(table)
     needed, bits = _bitmap(able)
     places = int(max(least, WIDTH * total // TABLE_BYTES + 1))
-    records = docs.mapInArrow(_records(needed, bits, width), "sig long, shingles binary").repartition(places, "sig").groupBy("sig").agg(F.first("shingles").alias("shingles"))
+    records = docs.mapInArrow(released(_records(needed, bits, width)), "sig long, shingles binary").repartition(places, "sig").groupBy("sig").agg(F.first("shingles").alias("shingles"))
     sets = scratch.bucketed(records, "sig", places)
+    needed.destroy()
     postings = (sets.agg(F.sum(F.length("shingles"))).first()[0] or 0) // WIDTH * ORDERS * (100 - percent) // 100
     buckets = int(max(least, postings // BUCKET + 1))
-    raw = sets.select("sig", "shingles").mapInArrow(_postings(crowd, buckets, percent), "bucket int, entries binary, list long, sig long, w int")
-    found = raw.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket(percent), "ord int, a long, b long, shared int")
-    return Linker(sets, scratch.stored(found, "candidates"), crowd, percent, scratch).run()
+    raw = sets.select("sig", "shingles").mapInArrow(released(_postings(crowd, buckets, percent)), "bucket int, entries binary, list long, sig long, w int")
+    found = raw.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(released(_bucket(percent)), "ord int, a long, b long, shared int")
+    stars = Linker(sets, scratch.stored(found, "candidates"), crowd, percent, scratch).run()
+    crowd.destroy()
+    return stars
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, width: int = WORDS) -> DataFrame:
@@ -655,7 +658,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", perc
     """
     source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = df.schema[key].dataType.simpleString()
-    rows = stored(source.mapInArrow(_scan(width), f"row {kind}, sig long, n long"), "scan")
+    rows = stored(source.mapInArrow(released(_scan(width)), f"row {kind}, sig long, n long"), "scan")
     total = rows.agg(F.sum("n")).first()[0] or 0
     with Scratch(df.sparkSession) as scratch:
         stars = link_classes(source.select("text"), total, percent, width, scratch)

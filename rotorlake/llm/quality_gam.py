@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats as ts
-from .common import slices
+from .common import released, slices
 from .quality_rules import Texts
 
 #: Labelled rows that training takes at most.
@@ -173,7 +173,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             x = features(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, x.T)], names=["h", "label", *FEATURES])
 
-    each = rows.mapInArrow(run, "h long, label int" + "".join(f", {f} double" for f in FEATURES)).groupBy("h", "label").agg(F.min(F.struct(*FEATURES)).alias("x"))
+    each = rows.mapInArrow(released(run), "h long, label int" + "".join(f", {f} double" for f in FEATURES)).groupBy("h", "label").agg(F.min(F.struct(*FEATURES)).alias("x"))
     found = each.select("h", "label", "x.*").toPandas().sort_values(["h", "label"])
     return fit(found[list(FEATURES)].to_numpy(float), found["label"].to_numpy(float))
 
@@ -193,4 +193,4 @@ def classify(df: DataFrame, model: Model, text: str = "text", score: str = "scor
             found = shared.value.score(features(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[*batch.schema.names[:-1], score])
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(released(run), schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats as ts
-from .common import slices
+from .common import released, slices
 
 #: Largest share of word bytes inside repeated n-grams, by n.
 NGRAM_SHARES = {5: 0.30, 7: 0.26, 10: 0.20}
@@ -92,4 +92,4 @@ def judge(df: DataFrame, text: str = "text", key: str = "doc_id", shares: dict[i
             columns = [t.words.astype(np.int64), t.chars(), t.in_bytes(_SYMBOL[t.buffer]), lines, repeats, failed, kept, line_cover, *covers]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_coverage", *names])
 
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(released(run), schema).withColumnRenamed("key", key)

@@ -20,7 +20,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pretokens, simple8b
-from .common import slices, texts
+from .common import kept, released, slices, texts
 from .token_counts import library, parts, piece_ids, specials, whole_pieces
 
 SEGMENT_IDS = 1 << 18
@@ -77,12 +76,6 @@ class Encoder:
         return [(whole(t) if p is None else b"".join(map(self.cache.__getitem__, p))) + last for t, p in zip(found, plain, strict=True)]
 
 
-@cache
-def encoder(path: str, source: str, pieces: tuple[str, ...]) -> Encoder:
-    """One for each worker, over all its tasks."""
-    return Encoder(path, source, pieces)
-
-
 def write(df: DataFrame, folder: str, path: str, source: str, end: int, text: str = "text", key: str = "doc_id", segment_ids: int = SEGMENT_IDS) -> None:
     """Writes the token files of ``df`` into ``folder`` (which must be new)."""
     shared = df.sparkSession.sparkContext.broadcast(tuple(whole_pieces(path, source)))
@@ -90,7 +83,7 @@ def write(df: DataFrame, folder: str, path: str, source: str, end: int, text: st
     schema = f"range int, number int, base long, n_ids long, keys array<{kind}>, segment binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, number, base = encoder(path, source, shared.value), TaskContext.get().partitionId(), 0, 0
+        own, part, number, base = kept("token_files", (path, source, shared.value), lambda: Encoder(path, source, shared.value)), TaskContext.get().partitionId(), 0, 0
         keys, held, size = [], [], 0
 
         def segment() -> pa.RecordBatch:
@@ -112,7 +105,7 @@ def write(df: DataFrame, folder: str, path: str, source: str, end: int, text: st
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "text").select("key", "text")
-    ordered.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(folder)
+    ordered.mapInArrow(released(run, "token_files"), schema).write.option("compression", "uncompressed").parquet(folder)
 
 
 def read(spark: SparkSession, folder: str, key: str = "doc_id", ids: bool = True) -> DataFrame:
@@ -139,4 +132,4 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id", ids: bool = True
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(found.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(out, names=["key", "start", "n_tokens", "ids_crc32", "token_ids"][: len(out)])
 
-    return placed.mapInArrow(run, fields).withColumnRenamed("key", key)
+    return placed.mapInArrow(released(run), fields).withColumnRenamed("key", key)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 
 TRIE_BYTES = 32 << 20
 _HOST, _PATH = r"://([^/?#]*)", r"://[^/?#]*([^?#]*)"
@@ -96,7 +98,7 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", k
                 names=["key", "host", "path", "rule", "verdict"],
             )
 
-    out = df.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url")).mapInArrow(judge, f"key {kind}, host string, path string, rule string, verdict string")
+    out = df.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url")).mapInArrow(released(judge), f"key {kind}, host string, path string, rule string, verdict string")
     return out.withColumnRenamed("key", key)
 
 
