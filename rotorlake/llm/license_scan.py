@@ -15,8 +15,8 @@ anything is exploded, and no cosine of words like "the" alone counts.
 A file whose whole text, first line or first paragraph matches is a licence file of its
 directory. A file without a match of its own inherits from the nearest directory above that
 has a licence file; the best match wins there, too. Null and empty texts match nothing but
-inherit; a null path has no directory. Rows with equal paths are one file to matches and keep
-their rows. An empty table gives no rows; other columns aren't read.
+inherit; a null path has no directory. Rows with equal paths are one file, with the best match of
+their texts, and keep their rows. An empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -121,13 +121,22 @@ def matches(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES,
     several = F.filter(paragraphs, lambda p: F.contains(p["text"], F.lit("\n")))
     parts = F.concat(F.array(F.struct(F.lit(-1).alias("segment"), F.col("text").alias("text"))), lines, several)
     segments = full.select("path", F.explode(parts).alias("s")).select("path", "s.segment", "s.text").where(F.col("text").rlike(keyed))
-    terms = segments.select("path", "segment", F.explode(F.split(F.translate("text", _UPPER, _LOWER), "[^a-z0-9]+")).alias("word")).where("word <> ''")
-    counted = terms.groupBy("path", "segment", "word").agg(F.count("*").alias("n"))
-    # rows with equal paths and texts would count double alike, which a cosine doesn't see
+    # Only words of templates leave their row. Of the others a segment keeps the sum of squared
+    # counts; the empty word counts equal rows, which scale dots and norms alike.
+    found = F.filter(F.split(F.translate("text", _UPPER, _LOWER), "[^a-z0-9]+"), lambda w: w != "")
+    run = lambda w, n, s: F.named_struct(F.lit("w"), w, F.lit("n"), n.cast("long"), F.lit("s"), s.cast("long"))
+    step = lambda a, w: F.when(a["w"] == w, run(w, a["n"] + 1, a["s"])).otherwise(run(w, F.lit(1), a["s"] + a["n"] * a["n"]))
+    squares = F.aggregate(F.sort_array("words"), run(F.lit(""), F.lit(0), F.lit(0)), step, lambda a: a["s"] + a["n"] * a["n"])
+    kept = F.concat(F.array(F.lit("")), F.filter(F.col("words"), lambda w: w.isin(sorted(idf))))
+    terms = segments.select("path", "segment", F.xxhash64("text").alias("h"), found.alias("words")).select("path", "segment", "h", squares.alias("squares"), kept.alias("kept"))
+    terms = terms.select("path", "segment", "h", "squares", F.explode("kept").alias("word"))
+    counted = terms.groupBy("path", "segment", "h", "word").agg(F.count("*").alias("n"), F.max("squares").alias("squares"))
     known = spark.createDataFrame([(w, v, [x.get(w, 0.0) for _, x in vectors]) for w, v in sorted(idf.items())], "word string, idf double, unit array<double>")
-    weighted = counted.join(F.broadcast(known), "word", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
+    weighted = counted.join(F.broadcast(known), "word", "left").withColumn("w", F.col("n") * F.col("idf"))
     dots = [F.sum(F.col("w") * F.col("unit")[i]).alias(f"d{i}") for i in range(len(vectors))]
-    summed = weighted.groupBy("path", "segment").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
+    rows = F.max(F.when(F.col("word") == "", F.col("n")))
+    norm = F.sqrt(other * other * F.max("squares") * rows * rows + F.coalesce(F.sum(F.col("w") * F.col("w") - F.when(F.col("word") != "", other * other * F.col("n") * F.col("n"))), F.lit(0.0)))
+    summed = weighted.groupBy("path", "segment", "h").agg(norm.alias("norm"), *dots)
     scores = F.array(*[F.struct(F.lit(name).alias("license"), F.round(F.coalesce(F.col(f"d{i}"), F.lit(0.0)) / F.col("norm"), 6).alias("score")) for i, (name, _) in enumerate(vectors)])
     hits = summed.select("path", "segment", F.explode(F.filter(scores, lambda m: m["score"] >= least)).alias("m")).select("path", "segment", "m.license", "m.score")
     best = F.min(F.struct((-F.col("score")).alias("s"), "license", "segment")).alias("b")
@@ -156,14 +165,14 @@ def sql(files: str, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: fl
     known = ", ".join(f"('{w}', {v!r}::double)" for w, v in sorted(idf.items()))
     unit = ", ".join(f"('{name}', {i}, '{w}', {v!r}::double)" for i, (name, vector) in enumerate(vectors) for w, v in sorted(vector.items()))
     return f"""
-with files as ({files}), known(word, idf) as (values {known}), unit(license, wording, word, v) as (values {unit}),
-lines as (select path, unnest(range(len(l)))::int as segment, unnest(l) as text from (select path, string_split(text, chr(10)) as l from files)),
-paragraphs as (select path, -2 - unnest(range(len(l)))::int as segment, unnest(l) as text from (select path, string_split_regex(text, '\\n(?:[^A-Za-z0-9\\n]*\\n)+') as l from files)),
-segments as (select * from (select * from lines union all select * from paragraphs where contains(text, chr(10)) union all select path, -1, text from files) where regexp_matches(text, '(?i)(?:^|[^a-z0-9])(?:{'|'.join(KEYS)})(?:$|[^a-z0-9])')),
-terms as (select path, segment, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+')) as word from segments),
-weighted as (select path, segment, word, count(*) * coalesce(any_value(idf), {other!r}) as w from terms left join known using (word) group by all),
-norms as (select path, segment, sqrt(sum(w * w)) as norm from weighted group by all),
-scored as (select path, segment, license, wording, round(sum(w * v) / any_value(norm), 6) as score from weighted join unit using (word) join norms using (path, segment) group by all),
+with files as (select *, row_number() over () as rid from ({files})), known(word, idf) as (values {known}), unit(license, wording, word, v) as (values {unit}),
+lines as (select path, rid, unnest(range(len(l)))::int as segment, unnest(l) as text from (select path, rid, string_split(text, chr(10)) as l from files)),
+paragraphs as (select path, rid, -2 - unnest(range(len(l)))::int as segment, unnest(l) as text from (select path, rid, string_split_regex(text, '\\n(?:[^A-Za-z0-9\\n]*\\n)+') as l from files)),
+segments as (select * from (select * from lines union all select * from paragraphs where contains(text, chr(10)) union all select path, rid, -1, text from files) where regexp_matches(text, '(?i)(?:^|[^a-z0-9])(?:{'|'.join(KEYS)})(?:$|[^a-z0-9])')),
+terms as (select path, rid, segment, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+')) as word from segments),
+weighted as (select path, rid, segment, word, count(*) * coalesce(any_value(idf), {other!r}) as w from terms left join known using (word) group by all),
+norms as (select path, rid, segment, sqrt(sum(w * w)) as norm from weighted group by all),
+scored as (select path, rid, segment, license, wording, round(sum(w * v) / any_value(norm), 6) as score from weighted join unit using (word) join norms using (path, rid, segment) group by all),
 hits as (select *, bool_or(segment in (0, -1, -2)) over (partition by path) as wide, row_number() over (partition by path order by score desc, license, segment) as r from scored where score >= {least}),
 own as (select * from hits where r = 1),
 placed as (select *, nullif(regexp_extract(path, '^(.*)/', 1), '') as dir from files),
