@@ -80,23 +80,6 @@ def _near(source: str) -> re.Pattern:
     return re.compile(out.replace("[^\\s", f"[^{space}").replace("\\S", f"[^{space}]").replace("\\s", f"[{space}]"))
 
 
-#: Fixed value: the pattern whose matches end before a lone space, and take a lone line break by itself.
-PUBLIC = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space beside white space; NUL, which cuts units.
-_RUNS = re.compile(r"\s\s|\0")
-
-
-def units(text: str, source: str) -> list[str]:
-    """The text in parts of one or more whole pre-tokens, which is faster to cut than these.
-
-    Under PUBLIC no match goes on from other characters to white space. So it always cuts
-    before a space, and around a line break, that has no other white space beside it.
-    """
-    if source != PUBLIC or _RUNS.search(text):
-        return split(text, source)
-    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-
-
 def split(text: str, source: str) -> list[str]:
     """All matches of the pattern."""
     return (_near if text.isascii() or _FAR.search(text) is None else pattern)(source).findall(text)

@@ -55,7 +55,7 @@ def from_segment(image: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Ids by the tokenizers library, pre-token by pre-token behind a cache of units."""
+    """Ids by the tokenizers library, pre-token by pre-token behind a cache."""
 
     def __init__(self, path: str, source: str, pieces: tuple[str, ...]):
         self.tok, self.special, self.source = library(path), specials(path), source
@@ -63,15 +63,12 @@ class Encoder:
         self.cache = pretokens.Cache(self._ids, dict(zip(pieces, self._ids(pieces), strict=True)))
 
     def _ids(self, found: list[str]) -> list[bytes]:
-        """Ids of units, pre-token by pre-token."""
-        cut = [pretokens.split(unit, self.source) for unit in found]
-        ids = iter(piece_ids(self.path, [piece for pieces in cut for piece in pieces]))
-        return [np.asarray([i for _ in pieces for i in next(ids)], "<u4").tobytes() for pieces in cut]
+        return [np.asarray(ids, "<u4").tobytes() for ids in piece_ids(self.path, found)]
 
     def encode(self, found: list[str], end: int) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
         last, whole = np.asarray([end], "<u4").tobytes(), lambda t: np.asarray(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        plain = [pretokens.units(t, self.source) if pretokens.settled(t) and parts(t, self.special) == [t] else None for t in found]
+        plain = [pretokens.split(t, self.source) if pretokens.settled(t) and parts(t, self.special) == [t] else None for t in found]
         self.cache.learn(p for p in plain if p is not None)
         return [(whole(t) if p is None else b"".join(map(self.cache.__getitem__, p))) + last for t, p in zip(found, plain, strict=True)]
 
