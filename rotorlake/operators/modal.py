@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics
 from ..functions.pairs import dot, squared
+from ..kernels import tracking
 
 
 def stationary_split(modes: DataFrame, sectors: int, coriolis: Column | None = None) -> DataFrame:
@@ -186,3 +187,37 @@ def mac_neighbours(shapes: DataFrame) -> DataFrame:
     a = shapes.select("k", "rpm", F.col("mode_idx").alias("i"), F.col("shape").alias("a"))
     b = shapes.select("k", F.col("rpm").alias("rpm2"), F.col("mode_idx").alias("j"), F.col("shape").alias("b"))
     return steps.join(a, ["k", "rpm"]).join(b, ["k", "rpm2"]).select("k", "step", "rpm", "rpm2", "i", "j", mac(F.col("a"), F.col("b")).alias("mac"))
+
+
+def tracked(shapes: DataFrame) -> DataFrame:
+    """W1 from shapes (as in :func:`mac_neighbours`): what ``track(mac_neighbours(shapes))`` returns, without rows of pairs.
+
+    A harmonic's shapes go to one task, which holds them and a bounded number of candidates a
+    track. Shapes without all their parts have a MAC of 0 with any other.
+    """
+
+    def follow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.asarray([] if s is None else s, float) for s in rows["shape"]]
+        table = np.full((len(parts), max(map(len, parts), default=0)), np.nan)
+        for own, part in zip(table, parts, strict=True):
+            own[: len(part)] = part
+        rpm, modes = rows["rpm"].to_numpy(), rows["mode_idx"].to_numpy()
+        out, held, last, speeds = [], None, None, np.unique(rpm)
+        for speed in speeds[: len(speeds) if len(speeds) > 1 else 0]:
+            own = rpm == speed
+            at = np.zeros((int(modes[own].max()) + 1, table.shape[1]))
+            at[modes[own]] = table[own]
+            if held is None:
+                held = np.arange(len(at))
+            else:
+                before = held[: len(last)]
+                now = np.where((before >= 0)[:, None], last[before], 0.0)
+                held = np.full(len(held), -1)
+                for t, j in tracking.assigned(np.arange(len(before)), now, at).items():
+                    held[t] = j
+            last = at
+            out.append(pd.DataFrame({"k": key[0], "rpm": speed, "track": np.arange(len(held)), "mode_idx": held}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["k", "rpm", "track", "mode_idx"])
+
+    whole = shapes.where("k is not null and rpm is not null").select("k", "rpm", "mode_idx", "shape")
+    return whole.groupBy("k").applyInPandas(follow, "k int, rpm double, track int, mode_idx int")

@@ -607,7 +607,7 @@ def mode_tracking(spark, d):
     """Tracks of shapes over speeds; shapes of a harmonic are dealt to speeds and modes by id."""
     s = views.shapes(spark, d).select("k", (F.col("vec_id") % 7 * 1000.0).alias("rpm"), "vec_id", "shape")
     rows = modal.ranked(s, ["k", "rpm"], ["vec_id"], "n").select("k", "rpm", (F.col("n") - 1).alias("mode_idx"), "shape")
-    return modal.track(modal.mac_neighbours(rows))
+    return modal.tracked(rows)
 
 
 @query()

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rotorlake.functions import physics
+from rotorlake.kernels import tracking
 from rotorlake.operators import modal, response
 from rotorlake.plans import queries
 
@@ -57,6 +58,26 @@ def test_tracking_follows_swapped_modes_and_gaps(spark):
     assert got == {(0.0, 0): 0, (0.0, 1): 1, (2000.0, 0): 1, (2000.0, 1): 0, (5000.0, 0): 0, (5000.0, 1): 1}
 
 
+def test_tracking_from_shapes_is_that_from_all_pairs(spark, monkeypatch):
+    """Tied MACs, tracks that get lost, speeds with more and fewer modes, a harmonic of one speed."""
+    r = np.random.default_rng(4)
+    sizes = [(k, rpm, n) for k, counts in enumerate(((40, 30, 45, 20), (25, 60, 25), (7,))) for rpm, n in enumerate(counts)]
+    rows = [(k, 1000.0 * rpm, i, r.integers(-1, 2, 4).astype(float).tolist()) for k, rpm, n in sizes for i in range(n)]
+    s = spark.createDataFrame(rows, "k int, rpm double, mode_idx int, shape array<double>")
+    want = {tuple(x) for x in modal.track(modal.mac_neighbours(s)).collect()}
+    assert {tuple(x) for x in modal.tracked(s).collect()} == want and len(want) == 4 * 40 + 3 * 25 and any(m < 0 for *_, m in want)
+    a, b = (r.integers(-1, 2, (n, 4)).astype(float) for n in (50, 45))
+    a[3] = np.nan
+    out = tracking.assigned(np.arange(50), a, b)
+    monkeypatch.setattr(tracking, "KEPT", 2)
+    assert tracking.assigned(np.arange(50), a, b) == out and sorted(out.values()) == list(range(45))
+
+
+def test_mode_tracking_makes_no_rows_of_pairs(spark, sf_dir):
+    plan = queries.mode_tracking(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "embedding" in plan
+
+
 def test_mode_tracking_takes_every_shape(spark, tmp_path):
     rows = [(i, 1, [1.0, 0.0] if i < 707 else [0.0, 1.0]) for i in range(700, 714)]
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
