@@ -29,21 +29,37 @@ def mean_edge(elements: DataFrame, nodes: DataFrame, first: int = 100) -> DataFr
     return edges.join(side("p"), "p").join(side("q"), "q").agg(F.avg(size).alias("mean_edge"))
 
 
+#: Fixed value: a mesh's tolerance is 0.3 edges, so that a cell holds a few surface nodes.
+CELL = 4
+
+
+def _cell(c: str, tolerance: float, by: float = 0.0) -> Column:
+    return F.floor((F.col(c) + by) / (CELL * tolerance))
+
+
+def turned_cells(surface: DataFrame, sectors: int, tolerance: float) -> DataFrame:
+    """Nodes turned by one sector (left_id, tx, ty, tz), a row for each cell (cx, cy, cz) that is within the tolerance.
+
+    A cell is CELL tolerances wide, so that few nodes lie as near to a side that they look over it.
+    """
+    a = 2 * math.pi / sectors
+    wide = 1.001 * tolerance  # sums are rounded
+    turned = surface.select(F.col("node_id").alias("left_id"), (F.col("x") * math.cos(a) - F.col("y") * math.sin(a)).alias("tx"), (F.col("x") * math.sin(a) + F.col("y") * math.cos(a)).alias("ty"), F.col("z").alias("tz"))
+    for c in "xyz":
+        turned = turned.withColumn(f"c{c}", F.explode(F.array_distinct(F.array(_cell(f"t{c}", tolerance, -wide), _cell(f"t{c}", tolerance, wide)))))
+    return turned
+
+
 def sector_sides(surface: DataFrame, sectors: int, tolerance: float) -> DataFrame:
     """Pairs (left_id, right_id, distance) of surface nodes that a turn by one sector about z brings together.
 
     A turned node takes its nearest surface node within the tolerance, whose radius and height
     must differ by no more, either; of several turned nodes the one with the smallest id gets
-    it. Nodes meet in cells of the tolerance's size, so that the join is on equal keys.
+    it. Nodes meet in cells, so that the join is on equal keys.
     """
-    a = 2 * math.pi / sectors
-    cell = lambda c: F.floor(F.col(c) / tolerance)
-    turned = surface.select(F.col("node_id").alias("left_id"), (F.col("x") * math.cos(a) - F.col("y") * math.sin(a)).alias("tx"), (F.col("x") * math.sin(a) + F.col("y") * math.cos(a)).alias("ty"), F.col("z").alias("tz"))
-    for c in "xyz":
-        turned = turned.withColumn(f"c{c}", F.explode(F.array(*[cell(f"t{c}") + i for i in (-1, 0, 1)])))
-    own = surface.select(F.col("node_id").alias("right_id"), "x", "y", "z", *[cell(c).alias(f"c{c}") for c in "xyz"])
+    own = surface.select(F.col("node_id").alias("right_id"), "x", "y", "z", *[_cell(c, tolerance).alias(f"c{c}") for c in "xyz"])
     distance = F.sqrt(sum(((F.col(f"t{c}") - F.col(c)) * (F.col(f"t{c}") - F.col(c)) for c in "xyz"), F.lit(0.0)))
-    found = turned.join(own, ["cx", "cy", "cz"]).withColumn("distance", distance).where(F.col("distance") <= tolerance)
+    found = turned_cells(surface, sectors, tolerance).join(own, ["cx", "cy", "cz"]).withColumn("distance", distance).where(F.col("distance") <= tolerance)
     nearest = found.groupBy("left_id").agg(F.min(F.struct("distance", "right_id", (F.abs(F.hypot("tx", "ty") - F.hypot("x", "y"))).alias("dr"), F.abs(F.col("tz") - F.col("z")).alias("dz"))).alias("n"))
     fits = nearest.where((F.col("n.dr") <= tolerance) & (F.col("n.dz") <= tolerance)).select("left_id", "n.right_id", "n.distance")
     return fits.withColumn("r", F.row_number().over(Window.partitionBy("right_id").orderBy("left_id"))).where("r = 1").drop("r")

@@ -86,6 +86,22 @@ def test_boundaries_from_geometry(spark, sector):
         detect.detected_sets(sector["elements"], sector["nodes"], 7, tolerance=1e-6)
 
 
+def test_sector_sides_takes_few_cells_and_misses_no_pair(spark):
+    """Random surfaces denser than the tolerance against all pairs; about two cells a turned node, not 27."""
+    r, tolerance, a = np.random.default_rng(5), 0.05, 2 * math.pi / 8
+    own = r.uniform(-1, 1, (1500, 3)) * [0.5, 0.5, 0.1]
+    s = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(own)] + [(-1, float("nan"), 0.0, 0.0), (-2, None, 0.0, 0.0)], "node_id int, x double, y double, z double").persist()
+    turned = np.column_stack([own[:, 0] * math.cos(a) - own[:, 1] * math.sin(a), own[:, 0] * math.sin(a) + own[:, 1] * math.cos(a), own[:, 2]])
+    d = np.sqrt(((turned[:, None] - own[None]) ** 2).sum(axis=2))
+    want: dict[int, int] = {}
+    for left in np.flatnonzero(d.min(axis=1) <= tolerance).tolist():
+        want.setdefault(int(d[left].argmin()), left)
+    out = detect.sector_sides(s, 8, tolerance)
+    assert {x["right_id"]: x["left_id"] for x in out.collect()} == want and len(want) > 300
+    cells = detect.turned_cells(s, 8, tolerance)
+    assert cells.where("left_id >= 0").count() < 5 * len(own) and cells.where("left_id >= 0").select("left_id").distinct().count() == len(own)
+
+
 def test_chain_and_nearest_panel(spark):
     edges = spark.createDataFrame([(5, 3), (1, 2), (2, 5)], "a int, b int")
     assert detect.chain(edges) == [1, 2, 5, 3] and detect.chain(edges.limit(0)) == []
