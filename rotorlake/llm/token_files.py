@@ -18,7 +18,9 @@ table; other columns aren't read.
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,23 +56,42 @@ def from_segment(image: bytes) -> tuple[np.ndarray, np.ndarray]:
     return simple8b.unpack(out[2], out[1].astype(np.int64), out[3], n), out[0].astype(np.int64)
 
 
+class Ids(pretokens.Cache):
+    """Pre-token to its little-endian 32-bit ids, made when it is first asked for: one lookup a pre-token."""
+
+    def __init__(self, path: str, pieces: tuple[str, ...]):
+        self.path = path
+        super().__init__(lambda found: map(self.one, found), {p: self.one(p) for p in pieces})
+
+    def one(self, piece: str) -> bytes:
+        ids = array("I", piece_ids(self.path, (piece,))[0])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.one(piece)
+        if len(piece) <= pretokens.CACHED_LENGTH:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids by the tokenizers library, pre-token by pre-token behind a cache."""
 
     def __init__(self, path: str, source: str, pieces: tuple[str, ...]):
         self.tok, self.special, self.source = library(path), specials(path), source
-        self.path = path
-        self.cache = pretokens.Cache(self._ids, dict(zip(pieces, self._ids(pieces), strict=True)))
-
-    def _ids(self, found: list[str]) -> list[bytes]:
-        return [np.asarray(ids, "<u4").tobytes() for ids in piece_ids(self.path, found)]
+        self.cache = Ids(path, pieces)
 
     def encode(self, found: list[str], end: int) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
         last, whole = np.asarray([end], "<u4").tobytes(), lambda t: np.asarray(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        plain = [pretokens.split(t, self.source) if pretokens.settled(t) and parts(t, self.special) == [t] else None for t in found]
-        self.cache.learn(p for p in plain if p is not None)
-        return [(whole(t) if p is None else b"".join(map(self.cache.__getitem__, p))) + last for t, p in zip(found, plain, strict=True)]
+        known, out = self.cache.__getitem__, []
+        for t in found:
+            self.cache.bounded()
+            plain = pretokens.settled(t) and parts(t, self.special) == [t]
+            out.append((b"".join(map(known, pretokens.split(t, self.source))) if plain else whole(t)) + last)
+        return out
 
 
 def write(df: DataFrame, folder: str, path: str, source: str, end: int, text: str = "text", key: str = "doc_id", segment_ids: int = SEGMENT_IDS) -> None:

@@ -77,3 +77,17 @@ def test_token_files(spark, odd, none, tmp_path):
             assert (g["doc_id"], g["start"], g["n_tokens"], g["token_ids"]) == (s["doc_id"], start, len(ids), ids)
             assert g["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
             start += len(ids)
+
+
+def test_encoder_looks_up_each_pretoken_once_and_stays_bounded(monkeypatch):
+    encoder = token_files.Encoder(queries.TOKENIZER, public.PATTERN, ("the", " the"))
+    asked, one = [], encoder.cache.one
+    monkeypatch.setattr(encoder.cache, "one", lambda piece: (asked.append(piece), one(piece))[1])
+    found = [f"the the zq{i}x zq{i}x {'y' * 70} \u00e9" for i in range(40)] + ["", "a\U0001f600", "<|endoftext|>"]
+    want = [token_files.library(queries.TOKENIZER).encode(t, add_special_tokens=False).ids + [2] for t in found]
+    ids = lambda: [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(found, 2)]
+    assert ids() == ids() == want
+    short = [piece for piece in asked if len(piece) <= 64]
+    assert len(short) == len(set(short)) > 5 and "the" not in asked and max(map(len, encoder.cache)) <= 64
+    encoder.cache.entries = 10
+    assert ids() == want and len(encoder.cache) <= 2 + 10 + 8
