@@ -55,11 +55,13 @@ def sector_sides(surface: DataFrame, sectors: int, tolerance: float) -> DataFram
 
     A turned node takes its nearest surface node within the tolerance, whose radius and height
     must differ by no more, either; of several turned nodes the one with the smallest id gets
-    it. Nodes meet in cells, so that the join is on equal keys.
+    it. Nodes meet in cells, so that the join is on equal keys. It is a merge join whatever
+    sizes Catalyst expects: a file of ids may be far smaller than the places made from them,
+    and a broadcast of those would pass through the driver.
     """
     own = surface.select(F.col("node_id").alias("right_id"), "x", "y", "z", *[_cell(c, tolerance).alias(f"c{c}") for c in "xyz"])
     distance = F.sqrt(sum(((F.col(f"t{c}") - F.col(c)) * (F.col(f"t{c}") - F.col(c)) for c in "xyz"), F.lit(0.0)))
-    found = turned_cells(surface, sectors, tolerance).join(own, ["cx", "cy", "cz"]).withColumn("distance", distance).where(F.col("distance") <= tolerance)
+    found = turned_cells(surface, sectors, tolerance).join(own.hint("merge"), ["cx", "cy", "cz"]).withColumn("distance", distance).where(F.col("distance") <= tolerance)
     nearest = found.groupBy("left_id").agg(F.min(F.struct("distance", "right_id", (F.abs(F.hypot("tx", "ty") - F.hypot("x", "y"))).alias("dr"), F.abs(F.col("tz") - F.col("z")).alias("dz"))).alias("n"))
     fits = nearest.where((F.col("n.dr") <= tolerance) & (F.col("n.dz") <= tolerance)).select("left_id", "n.right_id", "n.distance")
     return fits.withColumn("r", F.row_number().over(Window.partitionBy("right_id").orderBy("left_id"))).where("r = 1").drop("r")

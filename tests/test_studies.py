@@ -102,6 +102,17 @@ def test_sector_sides_takes_few_cells_and_misses_no_pair(spark):
     assert cells.where("left_id >= 0").count() < 5 * len(own) and cells.where("left_id >= 0").select("left_id").distinct().count() == len(own)
 
 
+def test_sector_sides_broadcasts_no_nodes(spark):
+    """Places made from a range of ids, a source that Catalyst takes for small enough to broadcast."""
+    i, a = F.col("id"), 2 * math.pi / N
+    own = spark.range(4000).select(i.alias("node_id"), (i % 17 / 10.0 + 0.5).alias("x"), (i % 23 / 10.0 + 0.25).alias("y"), F.floor(i / 391).cast("double").alias("z"))
+    turned = own.select(F.col("node_id") + 10_000, F.col("x") * math.cos(a) - F.col("y") * math.sin(a), F.col("x") * math.sin(a) + F.col("y") * math.cos(a), "z")
+    out = detect.sector_sides(own.union(turned), N, 1e-3)
+    assert sorted((x["left_id"], x["right_id"]) for x in out.collect()) == [(n, n + 10_000) for n in range(4000)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_chain_and_nearest_panel(spark):
     edges = spark.createDataFrame([(5, 3), (1, 2), (2, 5)], "a int, b int")
     assert detect.chain(edges) == [1, 2, 5, 3] and detect.chain(edges.limit(0)) == []
